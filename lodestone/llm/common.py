@@ -85,7 +85,7 @@ def pack(**arrays: np.ndarray) -> bytes:
         planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T if len(a) else a.view(np.uint8)
         body.append(planes.tobytes())
     text = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(text).to_bytes(4, "little") + text + b"".join(body))
+    return zstandard.ZstdCompressor(level=3).compress(len(text).to_bytes(4, "little") + text + b"".join(body))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
@@ -101,7 +101,7 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 
 def pack_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def unpack_bytes(data: bytes) -> bytes:

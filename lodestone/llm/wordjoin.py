@@ -61,35 +61,30 @@ def resolve_words(
         splitter = split()
         part = C.partition_id()
         for k, (ids, texts) in enumerate(C.text_blocks(batches, block_chars)):
-            found = [splitter(text) for text in texts]
             block, home = (part << 32) | k, (part + k * 7919) % n
-            lens = np.array([len(words) for words, _ in found], np.int64)
-            own = np.array([number for _, number in found], np.int64)
-            coded = pa.array(list(chain.from_iterable(words for words, _ in found)), pa.large_string()).dictionary_encode()
-            codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), coded.dictionary.to_pylist()
-            del found, coded
-            rows = []
-            if words:
-                buckets = (pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(n)).astype(np.int64)
-                order = np.argsort(buckets, kind="stable")
-                for start, end in C.runs(buckets[order]):
-                    own_codes = order[start:end]
-                    blob = BETWEEN.join([words[i].encode() for i in own_codes.tolist()])
-                    rows.append((int(buckets[own_codes[0]]), block, home, ANSWER, C.pack(codes=own_codes.astype(np.uint32)), C.pack_bytes(blob)))
-                    if len(rows) == 512:
-                        yield _wire(rows)
-                        rows = []
-            edges = np.concatenate([[0], np.cumsum(lens)])
+            known: dict[str, int] = {}
             for j, (start, end) in enumerate(C.slices(len(t) for t in texts)):
-                own_codes, own_lens = codes[edges[start] : edges[end]], lens[start:end]
-                if ordered:
-                    what = {"codes": own_codes, "lens": own_lens.astype(np.uint32)}
-                else:
-                    pairs = np.repeat(np.arange(end - start, dtype=np.int64), own_lens) << 32 | own_codes
-                    pairs, freqs = np.unique(pairs, return_counts=True)
-                    of = pairs >> 32
-                    what = {"codes": (pairs & 0xFFFFFFFF).astype(np.uint32), "freqs": freqs.astype(np.uint32), "lens": np.bincount(of, minlength=end - start).astype(np.uint32)}
-                rows.append(((home + j) % n, block, home, SLICE, C.pack(own=own[start:end], **C.ids_to_arrays(ids[start:end]), **what), None))
+                found = [splitter(text) for text in texts[start:end]]
+                own = np.array([number for _, number in found], np.int64)
+                lens = np.array([len(words) for words, _ in found], np.int64)
+                base = len(known)
+                codes = _numbered(list(chain.from_iterable(words for words, _ in found)), known)
+                what = _by_position(codes, base) if ordered else _by_document(codes, lens)
+                what.setdefault("lens", lens.astype(np.uint32))
+                yield _wire([((home + j) % n, block, home, SLICE, C.pack(own=own, **C.ids_to_arrays(ids[start:end]), **what), None)])
+            words = list(known)
+            if not words:
+                continue
+            buckets = (pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(buckets, kind="stable")
+            rows = []
+            for start, end in C.runs(buckets[order]):
+                own_codes = order[start:end]
+                blob = BETWEEN.join([words[i].encode() for i in own_codes.tolist()])
+                rows.append((int(buckets[own_codes[0]]), block, home, ANSWER, C.pack(steps=np.diff(own_codes, prepend=0).astype(np.uint32)), C.pack_bytes(blob)))
+                if len(rows) == 512:
+                    yield _wire(rows)
+                    rows = []
             yield _wire(rows)
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +112,59 @@ def resolve_words(
                     now, codes, data, sizes, answers = block, [], [], [], None
                 if kind == ANSWER:
                     got = C.unpack(b)
-                    codes.append(C.unpack(a)["codes"])
+                    codes.append(np.cumsum(C.unpack(a)["steps"], dtype=np.int64))
                     data.append(got["data"])
                     sizes.append(got["sizes"])
                     continue
                 if answers is None:
                     answers = _by_code(codes, data, sizes)
                     codes, data, sizes = [], [], []
-                yield assemble(C.unpack(a), answers)
+                part = C.unpack(a)
+                part["codes"] = _positions(part) if ordered else _distinct(part)
+                yield assemble(part, answers)
 
     out = C.to_home(docs.mapInArrow(scan, WIRE), "route", n).mapInArrow(answer, WIRE)
     return C.to_home(out, "route", n).sortWithinPartitions("block", "kind").mapInArrow(join, schema)
 
 
+def _numbered(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """Each word's number in its block; new words are numbered in order of first appearance."""
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    numbers = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int64)
+    return numbers[coded.indices.to_numpy(zero_copy_only=False)] if words else numbers
+
+
+def _by_position(codes: np.ndarray, base: int) -> dict[str, np.ndarray]:
+    """The numbers by position, 0 where a word appears for the first time: its number is the next one."""
+    steps = codes + 1
+    fresh = np.unique(codes, return_index=True)
+    steps[fresh[1][fresh[0] >= base]] = 0
+    return {"steps": steps.astype(np.uint32), "base": np.array([base], np.int64)}
+
+
+def _positions(part: dict[str, np.ndarray]) -> np.ndarray:
+    codes = part["steps"].astype(np.int64) - 1
+    fresh = codes < 0
+    codes[fresh] = part["base"][0] + np.arange(int(fresh.sum()))
+    return codes
+
+
+def _by_document(codes: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
+    """Each document's distinct numbers in ascending order, as steps, with their frequencies."""
+    pairs, freqs = np.unique(np.repeat(np.arange(len(lens)), lens) << 32 | codes, return_counts=True)
+    of, codes = pairs >> 32, pairs & 0xFFFFFFFF
+    steps = np.diff(codes, prepend=0)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    steps[first] = codes[first]
+    return {"steps": steps.astype(np.uint32), "freqs": freqs.astype(np.uint32), "lens": np.bincount(of, minlength=len(lens)).astype(np.uint32)}
+
+
+def _distinct(part: dict[str, np.ndarray]) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(part["steps"], dtype=np.int64)])
+    ends = np.cumsum(part["lens"], dtype=np.int64)
+    return sums[1:] - np.repeat(sums[ends - part["lens"]], part["lens"])
+
+
 def _by_code(codes: list, data: list, sizes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The answers' bytes, and each word number's start and length there."""
     if not codes:
