@@ -47,8 +47,8 @@ K = 5
 SIMILAR = 0.8
 PICKED = 4
 SKETCHES = 27
-#: Bins of the bound on shared items.
-BINS = 64
+#: Bins of the two bounds on shared items: counts by bin, for long texts, and used bins, for short ones.
+BINS, BITS = 64, 512
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -103,18 +103,20 @@ def sketches_of(items: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """Aligned items over the union of items; pairs below ``least`` may be given less than they have."""
+def similarity(a: dict[int, int], b: dict[int, int], least: float = SIMILAR) -> float:
+    """Aligned items over the union of items; pairs below ``least`` may be given less than they have.
+
+    ``a`` and ``b`` give each item's place, in order of place.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
     band = (n + m) * (1 - least) / (1 + least) + 1  # items that may stay unaligned
-    if abs(n - m) > band:
+    if abs(n - m) > band or n + m - 2 * len(a.keys() & b.keys()) > band:
         return 0.0
-    at = {x: i for i, x in enumerate(a.tolist())}
     tails: list[int] = []
-    for j, x in enumerate(b.tolist()):
-        i = at.get(x)
+    for x, j in b.items():
+        i = a.get(x)
         if i is not None and abs(i - j) <= band:
             k = bisect_left(tails, i)
             if k == len(tails):
@@ -135,7 +137,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         known: dict[bytes, int] = {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            keys, sizes, picked, bins = [], [], [], []
+            keys, sizes, picked, bins, bits = [], [], [], [], []
             for text in texts:
                 text = text or ""
                 if len(known) > 400_000:
@@ -145,10 +147,13 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 sizes.append(len(items))
                 picked.append(sketches_of(items, seeds).view(np.int64).tolist() if len(items) else [])
                 bins.append(np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=BINS))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(picked, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names=["id", "text_key", "n_items", "sketches", "bins"])
+                used = np.zeros(BITS, bool)
+                used[(items & np.uint64(BITS - 1)).astype(np.int64)] = True
+                bits.append(np.packbits(used).view("<i8"))
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(picked, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "text_key", "n_items", "sketches", "bins", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return C.materialize(rows.mapInArrow(run, "id long, text_key binary, n_items int, sketches array<long>, bins array<int>"), "sketches")
+    return C.materialize(rows.mapInArrow(run, "id long, text_key binary, n_items int, sketches array<long>, bins array<int>, bits array<long>"), "sketches")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -156,15 +161,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        cached: dict[bytes, dict[int, int]] = {}
+        held = 0
+
+        def places(key: bytes, text: str) -> dict[int, int]:
+            nonlocal held
+            found = cached.get(key)
+            if found is None:
+                if held > 2_000_000 or len(known) > 400_000:  # what a worker remembers stays bounded
+                    cached.clear()
+                    known.clear()
+                    held = 0
+                found = cached[key] = {x: i for i, x in enumerate(items_of(words_of(text), known).tolist())}
+                held += len(found)
+            return found
+
         for batch in batches:
             a, b = [], []
             for one, two, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(known) > 400_000:
-                    known.clear()
-                if last[0] != other:
-                    last = (other, items_of(words_of(other), known))
-                if similarity(items_of(words_of(text), known), last[1]) >= SIMILAR:
+                if similarity(places(one, text), places(two, other)) >= SIMILAR:
                     a.append(one)
                     b.append(two)
             yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -209,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id, text_key, n_items) for each row."""
     rows = sketch(docs, id_col, text_col)
     # the first of equal texts goes on
-    first = F.struct(F.col("n_items"), F.col("sketches"), F.col("bins"))
+    first = F.struct(F.col("n_items"), F.col("sketches"), F.col("bins"), F.col("bits"))
     distinct = C.materialize(rows.groupBy("text_key").agg(F.first(first).alias("f")).select("text_key", "f.*"), "distinct")
     signed = distinct.select("text_key", F.posexplode("sketches").alias("band", "value")).select("text_key", F.xxhash64("band", "value").alias("bucket"))
     groups = signed.groupBy("bucket").count().where("count > 1").select("bucket")
@@ -227,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # groups that still hold several classes: compare across classes, by an exact bound first
     classed = members.select("bucket", "text_key").join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = C.materialize(classed.join(mixed, "bucket").join(distinct.select("text_key", "n_items", "bins"), "text_key"), "mixed")
+    left = C.materialize(classed.join(mixed, "bucket").join(distinct.select("text_key", "n_items", "bins", "bits"), "text_key"), "mixed")
     if not left.isEmpty():
         more = C.materialize(_across(left).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = _verified(more, texts)
@@ -245,10 +260,14 @@ def _across(left: DataFrame) -> DataFrame:
     The bound is part of the join's condition, so pairs that cannot be similar never leave it.
     """
     need = SIMILAR / (1 + SIMILAR)
-    one = left.select("bucket", F.col("text_key").alias("a"), F.col("root").alias("ra"), F.col("n_items").alias("na"), F.col("bins").alias("ba"))
-    two = left.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("rb"), F.col("n_items").alias("nb"), F.col("bins").alias("bb"))
+    one = left.select("bucket", F.col("text_key").alias("a"), F.col("root").alias("ra"), F.col("n_items").alias("na"), F.col("bins").alias("ba"), F.col("bits").alias("ua"))
+    two = left.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("rb"), F.col("n_items").alias("nb"), F.col("bins").alias("bb"), F.col("bits").alias("ub"))
     shared = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     close = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("na") >= SIMILAR * F.col("nb")) & (F.col("nb") >= SIMILAR * F.col("na"))
+    # each bin that only one of two documents uses has at least one item that they don't share
+    alone = lambda x, y: sum((F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64)), F.lit(0))
+    enough = need * (F.col("na") + F.col("nb")) - 1e-6
+    close &= (F.col("na") - alone("ua", "ub") >= enough) & (F.col("nb") - alone("ub", "ua") >= enough)
     return one.join(two, "bucket").where(close).where(shared >= need * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
 
 
