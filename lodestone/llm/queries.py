@@ -11,6 +11,18 @@ from lodestone.llm.common import table
 CONTEXT = 2048
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.fingerprints import edited, leaf_set, likeness, root, tree, with_next
+
+    docs = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    docs = docs.withColumns({f"{c}_leaves": leaf_set(F.col(c)) for c in ("text", "edited", "next_text")})
+    return docs.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        root(tree(F.col("text"))).alias("fingerprint"), root(tree(F.col("edited"))).alias("edited_fingerprint"),
+        likeness(F.col("text_leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("text_leaves"), F.col("next_text_leaves")).alias("near_next"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +32,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.chat_format import format_rows, read_back
+
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    out = read_back(format_rows(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +56,23 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.common import scratch_path
+    from lodestone.llm.warc import read, write
+
+    path = scratch_path(spark, "warc")
+    write(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    full = read(spark, path, type="response").select(
+        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")
+    )
+    again = read(spark, path, type="revisit", payload="false").select(
+        number("record_id").alias("page_id"), F.col("full_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to")
+    )
+    return full.union(again)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from; a null id is never one of them."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -82,4 +125,26 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+_SECTIONS = "list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: string_split(p, '. ')))"
+_ROOT = "sha256(array_to_string(list_transform(" + _SECTIONS + ", lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(array_to_string(list_transform(p, lambda x: sha256(x)), ','))), ','))), ','))"
+_LEAVES = "list_distinct(list_transform(flatten(flatten(" + _SECTIONS + ")), lambda x: substr(sha256(x), 1, 16) || length(x)))"
+_SIZE = "coalesce(list_sum(list_transform({0}, lambda x: substr(x, 17)::BIGINT)), 0)"
+_NEAR = f"CASE WHEN {_SIZE.format('{0}')} + {_SIZE.format('{1}')} = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {_SIZE.format('list_intersect({0}, {1})')} / ({_SIZE.format('{0}')} + {_SIZE.format('{1}')}) END"
+
+ORACLES = {
+    "op1_fingerprints": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS next_text FROM d),
+        e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
+        l AS (SELECT *, {_LEAVES.format('text')} AS a, {_LEAVES.format('edited')} AS b, {_LEAVES.format('next_text')} AS c FROM e)
+        SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_ROOT.format('text')} AS fingerprint, {_ROOT.format('edited')} AS edited_fingerprint,
+            {_NEAR.format('a', 'b')} AS near_edited, {_NEAR.format('a', 'c')} AS near_next FROM l""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to FROM g""",
+}
