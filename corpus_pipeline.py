@@ -1,13 +1,79 @@
-"""A corpus pipeline over documents."""
+"""Documents to token ids: language ID, near-dedup, substring dedup, decontamination, byte-level BPE.
+
+Each stage gets all rows that its predecessor kept and returns the columns of ``documents``, but for
+the last, which adds token ids. What each one does to a document:
+
+1. ``language_id``: ``lang`` becomes the predicted language; documents without letters and those of which no
+   language holds over ``LEAST_SHARE`` of the letters go. It learns from rows whose language is known.
+2. ``near_dedup``: of each class of near-duplicates the document with the smallest id stays (of rows that repeat
+   it, one).
+3. ``substring_dedup``: stretches of 20 words that stand earlier are removed; a document whose words all
+   stood earlier stays as an empty text. ``n_chars`` follows the text.
+4. ``decontamination``: documents with a twentieth of their words inside windows of benchmark items go.
+5. ``byte_bpe``: adds ``n_tokens`` and ``ids``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.llm import common
+
+#: Share of letters below which a document has no language of its own.
+LEAST_SHARE = 1 / 3
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    from lodestone.llm.language_id import UNDETERMINED, fit, identify
+
+    docs = docs.select(*COLUMNS).withColumn("_own", F.col("text"))
+    found = identify(docs, fit(docs), keep=("_own", "source", "n_chars")).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return found.select("doc_id", F.col("_own").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    from lodestone.llm.near_dedup import near_duplicates
+
+    classes = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(classes.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    once = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    from lodestone.llm.substring_dedup import factorize
+
+    whole = docs.select(*COLUMNS).withColumn("_own", F.col("text"))
+    found = factorize(whole, keep=("_own", "lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") == 0, F.col("_own")).otherwise(F.col("kept"))  # untouched texts keep their white space
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontamination import contamination
+
+    marked = contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    bad = marked.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(common.materialize(bad, "contaminated"), "doc_id", "left_anti")
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    import public_tokenizers
+
+    from lodestone.llm.byte_bpe import encode
+
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
+#: No stage but decontamination can be told in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
