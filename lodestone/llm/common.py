@@ -8,10 +8,7 @@ the budget makes a block of its own.
 
 from __future__ import annotations
 
-import atexit
 import json
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import scratch_path
+
 #: Characters of text that a block holds before it is closed.
 BLOCK_CHARS = 16_000_000
 #: Characters of text in one slice of a block.
@@ -29,34 +28,6 @@ SLICE_CHARS = 500_000
 # --------------------------------------------------------------------------- scratch tables
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(spark.sparkContext, "_lodestone_scratch", None)
-    if own is None:  # one machine only, as in tests
-        own = spark.sparkContext._lodestone_scratch = tempfile.mkdtemp(prefix="lodestone-")
-    return own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone first; the folder is scratch space
-        pass
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, for lost executors too."""
     spark = df.sparkSession
