@@ -1,0 +1 @@
+"""Types, literals and conditions as columns."""

@@ -1,0 +1 @@
+"""Relational operators as plain Spark plans."""

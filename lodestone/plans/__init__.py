@@ -1,0 +1 @@
+"""From statement text to outcomes: grammar and execution."""

@@ -1,7 +1,10 @@
-"""Lets Python workers import this package, however the driver found it."""
+"""What a session needs: workers that can import this package, and scratch space that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,3 +18,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = getattr(spark.sparkContext, "_lodestone_scratch", None)
+    if own is None:  # one machine only, as in tests
+        own = spark.sparkContext._lodestone_scratch = tempfile.mkdtemp(prefix="lodestone-")
+    return own
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone first; the folder is scratch space
+        pass

@@ -1,0 +1 @@
+"""Empty: the statement language has no streams, and tables are read as snapshots."""
