@@ -67,6 +67,8 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihood by word and language; languages outside the word's script are far below."""
+        if not self.languages:
+            return np.zeros((len(words), 0), np.float32)
         owner, hashes = grams(words, ORDERS, BITS)
         out = np.stack([np.bincount(owner, weights=self.table[:, k][hashes], minlength=len(words)) for k in range(len(self.languages))], axis=1).astype(np.float32)
         for i, word in enumerate(words):
