@@ -16,6 +16,7 @@ and read as null. Repeated rows are records of their own. An empty table makes a
 
 from __future__ import annotations
 
+import gzip
 import io
 from collections.abc import Iterator
 
@@ -69,8 +70,8 @@ def records(pages: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of ``pages`` in a new folder."""
-    records(pages).write.option("lineSep", BETWEEN).text(path)
+    """Archives of ``pages``, one gzip member each, in a new folder."""
+    records(pages).write.option("lineSep", BETWEEN).option("compression", "gzip").text(path)
 
 
 # --------------------------------------------------------------------------- data source
@@ -118,7 +119,8 @@ class WarcReader(DataSourceReader):
         fs, _ = _file_system(self.path)
         rows, size = [], 0
         for path in partition.paths:
-            with io.BufferedReader(fs.open_input_file(path), 1 << 20) as source:
+            raw = fs.open_input_file(path)
+            with io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20) as source:
                 while (headers := _headers(source)) is not None:
                     row = {c: headers.get(name) for c, name in _HEADERS.items()}
                     row["digest"] = row["digest"] and row["digest"].partition(":")[2]
