@@ -19,9 +19,9 @@ Steps, none of which gathers a group in one task or pairs all of its members:
    and with the one of smallest hash: three comparisons a member however large the group is.
 3. Links make classes, by rounds of pointing to the smallest document known, each round stored.
 4. Groups whose members are still in several classes (few: they share boilerplate, or are linked
-   only through others) are compared across classes: pairs are formed where the counts of their
-   items by hash bin still allow the threshold, which is an exact bound. New links are
-   merged in. No link between members of a group is lost.
+   only through others) are compared across classes: pairs are formed where the bins that
+   only one of two signatures uses still allow the threshold, which is an exact bound. A signature has bins
+   in proportion to the items, so the bound is as sharp for long texts. New links are merged in. No link between members of a group is lost.
 
 Documents of fewer than ``K`` words have one item, all their words. Null text counts as empty;
 documents without words are alike only if their texts are equal. Repeated rows and ids give a row each. A class is named by
@@ -47,8 +47,8 @@ K = 5
 SIMILAR = 0.8
 PICKED = 4
 SKETCHES = 27
-#: Bins of the two bounds on shared items: counts by bin, for long texts, and used bins, for short ones.
-BINS, BITS = 64, 512
+#: Bins that a signature has for each item, at least; and its least number of bins.
+SPREAD, BITS = 8, 2048
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,14 +130,14 @@ def similarity(a: dict[int, int], b: dict[int, int], least: float = SIMILAR) ->
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, n_items, sketches, bins) for each row, stored."""
+    """(id, text_key, n_items, sketches) for each row, stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD)
         known: dict[bytes, int] = {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            keys, sizes, picked, bins, bits = [], [], [], [], []
+            keys, sizes, picked = [], [], []
             for text in texts:
                 text = text or ""
                 if len(known) > 400_000:
@@ -146,14 +146,10 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 keys.append(xxhash.xxh3_128_digest(text.encode()))
                 sizes.append(len(items))
                 picked.append(sketches_of(items, seeds).view(np.int64).tolist() if len(items) else [])
-                bins.append(np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=BINS))
-                used = np.zeros(BITS, bool)
-                used[(items & np.uint64(BITS - 1)).astype(np.int64)] = True
-                bits.append(np.packbits(used).view("<i8"))
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(picked, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "text_key", "n_items", "sketches", "bins", "bits"])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(picked, pa.list_(pa.int64()))], names=["id", "text_key", "n_items", "sketches"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return C.materialize(rows.mapInArrow(run, "id long, text_key binary, n_items int, sketches array<long>, bins array<int>, bits array<long>"), "sketches")
+    return C.materialize(rows.mapInArrow(run, "id long, text_key binary, n_items int, sketches array<long>"), "sketches")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id, text_key, n_items) for each row."""
     rows = sketch(docs, id_col, text_col)
     # the first of equal texts goes on
-    first = F.struct(F.col("n_items"), F.col("sketches"), F.col("bins"), F.col("bits"))
+    first = F.struct("n_items", "sketches")
     distinct = C.materialize(rows.groupBy("text_key").agg(F.first(first).alias("f")).select("text_key", "f.*"), "distinct")
     signed = distinct.select("text_key", F.posexplode("sketches").alias("band", "value")).select("text_key", F.xxhash64("band", "value").alias("bucket"))
     groups = signed.groupBy("bucket").count().where("count > 1").select("bucket")
@@ -242,9 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # groups that still hold several classes: compare across classes, by an exact bound first
     classed = members.select("bucket", "text_key").join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = C.materialize(classed.join(mixed, "bucket").join(distinct.select("text_key", "n_items", "bins", "bits"), "text_key"), "mixed")
+    left = C.materialize(classed.join(mixed, "bucket"), "mixed")
     if not left.isEmpty():
-        more = C.materialize(_across(left).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        signed = _signatures(texts.join(left.select("text_key").distinct(), "text_key", "left_semi"))
+        more = C.materialize(_across(left.join(signed, "text_key")).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = _verified(more, texts)
         roots = components(links.union(found))
 
@@ -254,21 +251,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return ids.join(named, "root").select(F.col("id").alias(id_col), "class_id", "text_key", "n_items")
 
 
+def signature_of(items: np.ndarray) -> np.ndarray:
+    """The used bins of a document, 64 to a number: a power of two of bins that follows the number of items."""
+    size = max(BITS, 1 << (SPREAD * len(items) - 1).bit_length())
+    used = np.zeros(size, bool)
+    used[(items & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(used, bitorder="little").view("<i8")
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(text_key, n_items, bits, coarse, used): signatures, the same folded to ``BITS`` bins, and the used bins of these."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            sizes, fine, coarse, used = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                if len(known) > 400_000:  # what a worker remembers stays bounded
+                    known.clear()
+                items = items_of(words_of(text), known)
+                bits = signature_of(items)
+                sizes.append(len(items))
+                fine.append(bits)
+                coarse.append(np.bitwise_or.reduce(bits.reshape(-1, BITS // 64), axis=0))
+                used.append(int(np.bitwise_count(coarse[-1].view(np.uint64)).sum()))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), pa.array(fine, pa.list_(pa.int64())), pa.array(coarse, pa.list_(pa.int64())), pa.array(used, pa.int32())], names=["text_key", "n_items", "bits", "coarse", "used"])
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, n_items int, bits array<long>, coarse array<long>, used int")
+
+
 def _across(left: DataFrame) -> DataFrame:
-    """Pairs of different classes of a group whose item counts by bin allow the threshold.
+    """Pairs of different classes of a group whose signatures allow the threshold.
 
-    The bound is part of the join's condition, so pairs that cannot be similar never leave it.
+    Each bin that only one of two documents uses has at least one item that they don't share. The bound is part
+    of the join's condition, so pairs that cannot be similar never leave it.
     """
-    need = SIMILAR / (1 + SIMILAR)
-    one = left.select("bucket", F.col("text_key").alias("a"), F.col("root").alias("ra"), F.col("n_items").alias("na"), F.col("bins").alias("ba"), F.col("bits").alias("ua"))
-    two = left.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("rb"), F.col("n_items").alias("nb"), F.col("bins").alias("bb"), F.col("bits").alias("ub"))
-    shared = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    one = left.select("bucket", F.col("text_key").alias("a"), F.col("root").alias("ra"), F.col("n_items").alias("na"), F.col("bits").alias("ba"), F.col("coarse").alias("ua"), F.col("used").alias("pa"))
+    two = left.select("bucket", F.col("text_key").alias("b"), F.col("root").alias("rb"), F.col("n_items").alias("nb"), F.col("bits").alias("bb"), F.col("coarse").alias("ub"), F.col("used").alias("pb"))
     close = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("na") >= SIMILAR * F.col("nb")) & (F.col("nb") >= SIMILAR * F.col("na"))
-    # each bin that only one of two documents uses has at least one item that they don't share
-    alone = lambda x, y: sum((F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64)), F.lit(0))
-    enough = need * (F.col("na") + F.col("nb")) - 1e-6
-    close &= (F.col("na") - alone("ua", "ub") >= enough) & (F.col("nb") - alone("ub", "ua") >= enough)
-    return one.join(two, "bucket").where(close).where(shared >= need * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b").distinct()
+    enough = SIMILAR / (1 + SIMILAR) * (F.col("na") + F.col("nb")) - 1e-6
+    both = sum((F.bit_count(F.col("ua")[k].bitwiseAND(F.col("ub")[k])) for k in range(BITS // 64)), F.lit(0))
+    close &= both >= F.greatest(F.col("pa") - F.col("na"), F.col("pb") - F.col("nb")) + enough
+
+    def lone(x: str, y: str):
+        # the sizes of similar documents' signatures differ by a factor of two at most: the larger one is folded
+        at = lambda c, k: F.get(F.col(c), k)
+        folded = lambda c, k, n: F.when(F.size(c) > n, at(c, k).bitwiseOR(at(c, k + n))).otherwise(at(c, k))
+        n = F.least(F.size(x), F.size(y))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, k: total + F.bit_count(folded(x, k, n).bitwiseAND(F.bitwise_not(folded(y, k, n)))))
+
+    close &= (F.col("na") - lone("ba", "bb") >= enough) & (F.col("nb") - lone("bb", "ba") >= enough)
+    return one.join(two, "bucket").where(close).select("a", "b").distinct()
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
