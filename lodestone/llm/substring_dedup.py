@@ -63,14 +63,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _join(left: np.ndarray, right: np.ndarray, span: int, odd: np.uint64) -> np.ndarray:
+    """Hashes of phrases of ``span`` words and what follows them, whose hashes are ``right``."""
+    right = right[span:]
+    return _mix(left[: len(right)] * odd + right)
+
+
 def _phrases(hashes: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
-    """A hash of the ``size`` hashes from each place on, by joining halves."""
-    if size == 1:
-        return _mix(hashes ^ odd)
-    half = 1 << (size - 1).bit_length() - 1
-    left, right = _phrases(hashes, half, odd), _phrases(hashes, size - half, odd)
-    n = max(0, len(hashes) - size + 1)
-    return _mix(left[:n] * odd + right[half : half + n])
+    """A hash of the ``size`` hashes from each place on: lengths double, those that make up ``size`` are joined."""
+    out, power, span = None, _mix(hashes ^ odd), 1
+    while True:
+        if size & span:
+            out = power if out is None else _join(power, out, span, odd)
+        if span * 2 > size:
+            return out
+        power = _join(power, power, span, odd)
+        span *= 2
 
 
 def _least(x: np.ndarray, size: int) -> np.ndarray:
