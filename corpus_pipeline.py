@@ -5,17 +5,18 @@ the last, which adds token ids. What each one does to a document:
 
 1. ``language_id``: ``lang`` becomes the predicted language; documents without letters and those of which no
    language holds over ``LEAST_SHARE`` of the letters go. It learns from rows whose language is known.
-2. ``near_dedup``: of each class of near-duplicates the document with the smallest id stays (of rows that repeat
-   it, one).
+2. ``near_dedup``: of each class of near-duplicates the document with the smallest id stays (null ids
+   last; of rows that repeat it, one). Unlike documents stay, whatever ids they share or lack.
 3. ``substring_dedup``: stretches of 20 words that stand earlier are removed; a document whose words all
    stood earlier stays as an empty text. ``n_chars`` follows the text.
-4. ``decontamination``: documents with a twentieth of their words inside windows of benchmark items go.
+4. ``decontamination``: documents with a twentieth of their words inside windows of benchmark items go,
+   each judged by its own row.
 5. ``byte_bpe``: adds ``n_tokens`` and ``ids``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
@@ -34,12 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    from lodestone.llm.near_dedup import near_duplicates
+    from lodestone.llm.near_dedup import first_of_classes
 
-    classes = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(classes.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    once = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*COLUMNS)
+    return first_of_classes(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
@@ -54,9 +52,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontamination import contamination
 
-    marked = contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = marked.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(common.materialize(bad, "contaminated"), "doc_id", "left_anti")
+    whole = docs.select(*COLUMNS).withColumn("_own", F.col("text"))
+    marked = contamination(whole, common.table(spark, sf_dir, "benchmark"), keep=("_own", "lang", "source", "n_chars"))
+    clean = marked.where((F.col("n_hit") == 0) | (20 * F.col("n_hit") < F.col("n_words")))
+    return clean.select("doc_id", F.col("_own").alias("text"), "lang", "source", "n_chars")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001

@@ -35,7 +35,6 @@ SHARD_CHARS = 8_000_000
 PART_BYTES = 32_000_000
 
 SHARDS = "shard long, docs binary, terms binary, postings binary"
-MARKED = f"{SHARDS}, marks binary"
 _KEPT = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
@@ -47,12 +46,17 @@ def words_of(text: str | None) -> list[bytes]:
 # --------------------------------------------------------------------------- index
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a shard: its documents, its terms, and each term's positions in ascending order."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a shard: its documents, its terms, and each term's positions in ascending order.
+
+    With ``keep`` the shard also holds these columns of its documents, as one compressed table.
+    """
+    schema = SHARDS + (", kept binary" if keep else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = C.partition_id()
-        for k, (ids, texts) in enumerate(C.text_blocks(batches, SHARD_CHARS)):
+        held: list[pa.RecordBatch] = []
+        for k, (ids, texts) in enumerate(C.text_blocks(_seen(batches, held) if keep else batches, SHARD_CHARS)):
             known: dict[bytes, int] = {}
             codes, lens = [], []
             for start, end in C.slices(len(t) for t in texts):
@@ -67,10 +71,36 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             counts = np.bincount(codes, minlength=len(known))
             steps = np.diff(places[np.argsort(codes, kind="stable")], prepend=0)
             blobs = (C.pack(lens=lens.astype(np.uint32), **C.ids_to_arrays(ids)), C.pack_bytes(b" ".join(known)), C.pack(counts=counts.astype(np.uint32), steps=steps.astype(np.int32)))
-            yield pa.record_batch([pa.array([(part << 32) | k]), *(pa.array([b], pa.binary()) for b in blobs)], names=["shard", "docs", "terms", "postings"])
+            if keep:
+                blobs += (_taken(held, len(ids)),)
+            yield pa.record_batch([pa.array([(part << 32) | k]), *(pa.array([b], pa.binary()) for b in blobs)], names=["shard", "docs", "terms", "postings", *(["kept"] if keep else [])])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return C.materialize(rows.mapInArrow(run, SHARDS), "postings")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    return C.materialize(rows.mapInArrow(run, schema), "postings")
+
+
+def _seen(batches: Iterable[pa.RecordBatch], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, whose further columns are put into ``held`` first."""
+    for batch in batches:
+        held.append(batch.select(batch.schema.names[2:]))
+        yield batch
+
+
+def _taken(held: list[pa.RecordBatch], n: int) -> bytes:
+    """The first ``n`` rows of ``held``, which lose them, as a compressed table."""
+    out = []
+    while n:
+        out.append(held[0].slice(0, n))
+        n -= out[-1].num_rows
+        if out[-1].num_rows == held[0].num_rows:
+            held.pop(0)
+        else:
+            held[0] = held[0].slice(out[-1].num_rows)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, out[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in out:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 class Shard:
@@ -178,15 +208,22 @@ def _each_phrase(shard: Shard, coded: list[np.ndarray], match: Callable) -> Iter
 # --------------------------------------------------------------------------- operators
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, items) for each document: words inside windows of items, and those items."""
-    shards = build_index(docs, id_col, text_col).withColumn("marks", F.lit(None).cast("binary"))
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, n_hit, items, *keep) for each row: words inside windows of items, and those items.
+
+    ``keep`` names further columns to carry along, so that nothing has to be joined back by an id.
+    """
+    shards = build_index(docs, id_col, text_col, keep).withColumn("marks", F.lit(None).cast("binary"))
     for k, part in enumerate(item_parts(items, item_id_col, item_text_col)):
         if k:  # each further part starts from what was stored
             shards = C.materialize(shards, "marks")
-        shards = shards.mapInArrow(_marker(item_windows(part, window)), MARKED)
-    out = shards.select("docs", "marks").mapInArrow(_totals, "id long, n_words long, n_hit long, items array<long>")
-    return out.withColumnRenamed("id", id_col)
+        marked = shards.select("shard", "docs", "terms", "postings", *(["kept"] if keep else []), "marks")
+        shards = marked.mapInArrow(_marker(item_windows(part, window)), marked.schema)
+    schema = docs.sparkSession.createDataFrame([], "_id long, n_words long, n_hit long, items array<long>").schema
+    for field in docs.select(*keep).schema if keep else []:
+        schema = schema.add(field)
+    out = shards.select("docs", "marks", *(["kept"] if keep else [])).mapInArrow(_totals, schema)
+    return out.withColumnRenamed("_id", id_col)
 
 
 def _marker(windows: dict[tuple[bytes, ...], list[int]]):
@@ -211,7 +248,7 @@ def _marker(windows: dict[tuple[bytes, ...], list[int]]):
                             item.append(np.full(len(among), one))
                 pairs = np.unique(np.stack([np.concatenate(of), np.concatenate(item)]), axis=1)
                 marks = C.pack(**_merged(np.concatenate(starts), np.concatenate(ends)), doc=pairs[0], item=pairs[1])
-                yield pa.record_batch([*row.columns[:4], pa.array([marks], pa.binary())], names=[*row.schema.names[:4], "marks"])
+                yield pa.record_batch([*row.columns[:-1], pa.array([marks], pa.binary())], names=row.schema.names)
 
     return run
 
@@ -228,7 +265,8 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
 
 def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for docs, marks in zip(*(batch.column(c).to_pylist() for c in ("docs", "marks")), strict=True):
+        more = batch.column("kept").to_pylist() if "kept" in batch.schema.names else [None] * batch.num_rows
+        for docs, marks, kept in zip(*(batch.column(c).to_pylist() for c in ("docs", "marks")), more, strict=True):
             docs = C.unpack(docs)
             lens = docs["lens"].astype(np.int64)
             marks = C.unpack(marks)
@@ -237,7 +275,13 @@ def _totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(marks["doc"], kind="stable")
             edges = np.concatenate([[0], np.cumsum(np.bincount(marks["doc"], minlength=len(lens)))])
             items = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(marks["item"][order], pa.int64()))
-            yield pa.record_batch([pa.array(docs["ids"], mask=docs["no_id"].astype(bool)), pa.array(lens), pa.array(hit), items], names=["id", "n_words", "n_hit", "items"])
+            own = pa.record_batch([pa.array(docs["ids"], mask=docs["no_id"].astype(bool)), pa.array(lens), pa.array(hit), items], names=["_id", "n_words", "n_hit", "items"])
+            at = 0
+            for part in pa.ipc.open_stream(kept) if kept is not None else [own.select([])]:
+                n = part.num_rows if kept is not None else own.num_rows
+                some = own.slice(at, n)
+                yield pa.record_batch([*some.columns, *part.columns], names=[*some.schema.names, *part.schema.names])
+                at += n
 
 
 def matches(index: DataFrame, phrases: list[str], span: int | None = None) -> DataFrame:

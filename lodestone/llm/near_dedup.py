@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.llm import common as C
 
@@ -217,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, text_key, n_items) for each row."""
+    """(id, class_id, text_key, n_items, class_key) for each row; ``class_key`` is never null and tells classes of nulls apart."""
     rows = sketch(docs, id_col, text_col)
     # the first of equal texts goes on
     first = F.struct("n_items", "sketches")
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rows.select("id", "text_key", "n_items").join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left")
     ids = C.materialize(ids.withColumn("root", F.coalesce("root", "text_key")), "classed")
     named = ids.groupBy("root").agg(F.min("id").alias("class_id"))
-    return ids.join(named, "root").select(F.col("id").alias(id_col), "class_id", "text_key", "n_items")
+    return ids.join(named, "root").select(F.col("id").alias(id_col), "class_id", "text_key", "n_items", F.col("root").alias("class_key"))
 
 
 def signature_of(items: np.ndarray) -> np.ndarray:
@@ -304,6 +305,25 @@ def _across(left: DataFrame) -> DataFrame:
     return one.join(two, "bucket").where(close).select("a", "b").distinct()
 
 
+def first_of_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of each class: that of the smallest id, null ids last; of rows that share it the smallest ``text_key``, then text, then other columns."""
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("_id"), F.col("text_key").alias("_key"))
+    chosen = near_duplicates(docs, id_col, text_col).groupBy("class_key").agg(F.min(order).alias("m")).select("m._id", "m._key")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    whole = docs.select(F.col(id_col), F.col(text_col), *others)
+    schema = StructType(list(whole.schema.fields)).add("_key", "binary")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [xxhash.xxh3_128_digest((text or "").encode()) for text in batch.column(1).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
+
+    kept = whole.mapInArrow(run, schema).join(chosen.withColumnRenamed("_key", "_of"), (F.col("_key") == F.col("_of")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
+    # what is left to choose from are rows of one id and one text; they are combined before they are dealt
+    one = kept.groupBy("_key").agg(F.min(F.struct(text_col, *others, id_col)).alias("r"))
+    return one.select(*(F.col(f"r.{c}") for c in docs.columns))
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a text leaves a task once, however many copies it has there
