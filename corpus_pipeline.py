@@ -3,8 +3,9 @@
 Each stage gets all rows that its predecessor kept and returns the columns of ``documents``, but for
 the last, which adds token ids. What each one does to a document:
 
-1. ``language_id``: ``lang`` becomes the predicted language; documents without letters and those of which no
-   language holds over ``LEAST_SHARE`` of the letters go. It learns from rows whose language is known.
+1. ``language_id``: ``lang`` becomes the predicted language; documents without letters, those of which no
+   language holds over ``LEAST_SHARE`` of the letters (letters of unlearned scripts are nobody's) and those whose
+   likelihood over chance is under ``LEAST_GAIN`` of what their language's texts usually have go. It learns from rows whose language is known.
 2. ``near_dedup``: of each class of near-duplicates the document with the smallest id stays (null ids
    last; of rows that repeat it, one). Unlike documents stay, whatever ids they share or lack.
 3. ``substring_dedup``: stretches of 20 words that stand earlier are removed; a document whose words all
@@ -23,15 +24,18 @@ from lodestone.llm import common
 
 #: Share of letters below which a document has no language of its own.
 LEAST_SHARE = 1 / 3
+#: Share of the usual likelihood over chance below which a text is in no learned language; even mixes of three languages are above it.
+LEAST_GAIN = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     from lodestone.llm.language_id import UNDETERMINED, fit, identify
 
-    docs = docs.select(*COLUMNS).withColumn("_own", F.col("text"))
-    found = identify(docs, fit(docs), keep=("_own", "source", "n_chars")).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return found.select("doc_id", F.col("_own").alias("text"), F.col("lang_pred").alias("lang"), "source", "n_chars")
+    docs = docs.select(*COLUMNS)
+    found = identify(docs, fit(docs), keep=("text", "source", "n_chars"))
+    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE) & (F.col("gain") >= LEAST_GAIN))
+    return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001

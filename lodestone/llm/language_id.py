@@ -2,13 +2,19 @@
 
 Each word is scored for each language by its character n-grams. The script of the word's letters
 (by Unicode range) narrows the candidates to languages that were learned in that script. Viterbi
-with a penalty for each switch then labels the words, and runs of equal labels are the spans. A
-document's language is the one with most letters in its spans; its score is that share.
+with a penalty for each switch then labels the words, and runs of equal labels are the spans. Words in a
+script that nobody taught are ``und``: they vote for no language. A document's language is the one with most
+letters in its spans; its score is that share of all letters, those of ``und`` words too.
+
+``gain`` tells how likely that language is: the log-likelihood of its words over that of n-grams by chance (each
+hash as likely as another), for each letter of the document, as a share of what the texts it was learned from
+have. Text in an unlearned language is hardly likelier than chance.
 
 The model is fitted on at most about ``SAMPLE`` labelled documents, a bounded sample; each whole
 text is used. Its size depends on the number of languages only.
 
-Null text and text without letters give ``und``, score 0.0 and no spans. Ties go to the language
+Null text and text without letters give ``und``, score and gain 0.0 and no spans; text wholly in unlearned scripts gives
+``und``, score and gain 0.0 and one span. Ties go to the language
 that sorts first. With nothing to learn from, all is ``und``. Null or repeated ids give a row each; extra columns
 are ignored; an empty table gives an empty result.
 """
@@ -62,11 +68,12 @@ def script_of(word: str) -> str:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # hash by language: log-probabilities, the mean over orders
+    table: np.ndarray  # hash by language: log-probabilities over chance, the mean over orders
     scripts: dict[str, list[int]]  # script: its languages
+    usual: np.ndarray  # by language: log-likelihood over chance for each letter that was learned from
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood by word and language; languages outside the word's script are far below."""
+        """Log-likelihood over chance by word and language; languages outside the word's script are far below."""
         if not self.languages:
             return np.zeros((len(words), 0), np.float32)
         owner, hashes = grams(words, ORDERS, BITS)
@@ -74,7 +81,7 @@ class Model:
         for i, word in enumerate(words):
             fits = self.scripts.get(script_of(word))
             if fits is None:
-                out[i] = 0  # nobody writes so: the word decides nothing
+                out[i] = np.nan  # nobody writes so
             elif len(fits) < len(self.languages):
                 keep = out[i, fits]
                 out[i] = keep.min() - 100
@@ -114,14 +121,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     table = np.zeros((1 << BITS, len(languages)), np.float32)
     for k, lang in enumerate(languages):
         smooth = counts[lang] + 0.5
-        table[:, k] = np.log(smooth / smooth.sum()) / len(ORDERS)
+        table[:, k] = (np.log(smooth / smooth.sum()) + BITS * np.log(2)) / len(ORDERS)
+    usual = np.array([counts[lang] @ table[:, k] / max(1, sum(letters.get(lang, {}).values())) for k, lang in enumerate(languages)])
     scripts: dict[str, list[int]] = {}
     for k, lang in enumerate(languages):
         own = letters.get(lang, {})
         for script, n in own.items():
             if n >= SCRIPT_SHARE * sum(own.values()):
                 scripts.setdefault(script, []).append(k)
-    return Model(languages, table, scripts)
+    return Model(languages, table, scripts, usual)
 
 
 def label_words(scores: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -187,14 +195,15 @@ def label_words(scores: np.ndarray, lens: np.ndarray, switch: float = SWITCH) ->
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, spans, *keep) for each row.
+    """(id, lang_pred, score, gain, spans, *keep) for each row.
 
     A span is (lang, first word, number of words); words are runs of letters, counted from 0.
-    ``keep`` names further columns to carry along.
+    ``keep`` names further columns to carry along; the text may be one of them and travels once.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.scripts))  # 2^BITS rows of languages
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *keep)
-    schema = rows.drop("_text").schema.add("lang_pred", "string", False).add("score", "double", False).add("spans", SPANS, False)
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.scripts, model.usual))  # 2^BITS rows of languages
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(c for c in keep if c != text_col))
+    with_text = text_col in keep
+    schema = (rows.withColumnRenamed("_text", text_col) if with_text else rows.drop("_text")).schema.add("lang_pred", "string", False).add("score", "double", False).add("gain", "double", False).add("spans", SPANS, False)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
@@ -203,7 +212,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         known: dict[str, int] = {}
         scored = [np.zeros((0, len(names)), np.float32)]
         for batch in batches:
-            for start, end in C.slices((len(t or "") for t in batch.column(1).to_pylist()), C.BLOCK_CHARS // 2):
+            for start, end in C.slices((len(t or "") for t in batch.column(1).to_pylist()), C.BLOCK_CHARS // 4):
                 part = batch.slice(start, end - start)
                 texts = part.column(1).to_pylist()
                 if len(known) > 400_000:  # what a worker remembers stays bounded
@@ -224,17 +233,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     lens += map(len, found)
                 scored = [np.concatenate(scored)]
                 codes, lens, letters = np.concatenate(codes), np.array(lens, np.int64), np.concatenate(letters)
-                labels = label_words(scored[0][codes], lens, switch) if len(names) else np.zeros(len(codes), np.int64)
+                n = len(names)
+                by_word = scored[0][codes]
+                strange = np.isnan(by_word).any(axis=1)
+                by_word[strange] = 0  # the word decides nothing
+                labels = label_words(by_word, lens, switch) if n else np.zeros(len(codes), np.int64)
+                labels[strange] = n
                 of = np.repeat(np.arange(len(lens)), lens)
-                n = max(1, len(names))
-                votes = np.bincount(of * n + labels, weights=letters, minlength=len(lens) * n).reshape(len(lens), n)
-                total = votes.sum(axis=1)
-                sure = (total > 0) & (len(names) > 0)
+                every = np.bincount(of * (n + 1) + labels, weights=letters, minlength=len(lens) * (n + 1)).reshape(len(lens), n + 1)
+                votes, total = every[:, : max(1, n)], np.maximum(every.sum(axis=1), 1)
+                sure = (votes.max(axis=1, initial=0) > 0) & (n > 0)
                 top = votes.argmax(axis=1)
-                said = np.where(sure, names[top] if len(names) else UNDETERMINED, UNDETERMINED)
-                score = np.where(sure, votes.max(axis=1) / np.maximum(total, 1), 0.0)
-                spans = _spans(of, labels, lens, names)
-                yield pa.record_batch([*(c for k, c in enumerate(part.columns) if k != 1), pa.array(said, pa.string()), pa.array(score), spans], names=[f.name for f in schema.fields])
+                said = np.where(sure, np.append(names, UNDETERMINED)[top], UNDETERMINED)
+                score = np.where(sure, votes.max(axis=1, initial=0) / total, 0.0)
+                own_words = (labels == top[of]) & ~strange & (n > 0)
+                won = by_word[own_words, labels[own_words]]
+                usual = np.maximum(own.usual[top], 1e-9) if n else 1.0
+                gain = np.where(sure, np.bincount(of[own_words], weights=won, minlength=len(lens)) / (total * usual), 0.0)
+                spans = _spans(of, labels, lens, np.append(names, UNDETERMINED) if n else names)
+                yield pa.record_batch([*(c for k, c in enumerate(part.columns) if with_text or k != 1), pa.array(said, pa.string()), pa.array(score), pa.array(gain), spans], names=[f.name for f in schema.fields])
 
     out = rows.mapInArrow(run, schema)
     return out.withColumnRenamed("_id", id_col)
