@@ -1,7 +1,9 @@
 r"""Chat formatting: schema fingerprints select a mapping to canonical turns; a template marks them.
 
-A record's layout is the set of its nested field paths (``messages[].role``). The hash of the sorted
-paths is the layout's fingerprint and selects a declarative mapping. Mapped records become
+A record's layout is the set of its nested field paths (``messages[].role``) that a mapping uses; what stands inside
+such a field belongs to it, other fields (ids, metadata) are ignored. The hash of the sorted paths is the
+layout's fingerprint and selects a declarative mapping. Lists of messages go before single fields (``prompt``),
+which often repeat their first message; records that fit several mappings otherwise have none. Mapped records become
 turns (role, text), and turns become one text by the template
 
     ### role: text</turn>
@@ -10,10 +12,11 @@ Inside roles and texts a backslash goes before each of ``\ # < :`` (``:`` in rol
 no text can end a turn or begin one, and reading back restores it exactly. The loss mask lists the
 stretches (start, length in code points) of assistants' texts in the formatted text.
 
-Null text or role counts as empty. Turns are ordered by turn, then role, then text, null turns
+Null or missing text or role counts as empty; an empty list of messages has no turns. Parts of a text that is a list are joined by
+blank lines, parts that hold no text as JSON. Turns are ordered by turn, then role, then text, null turns
 first; repeated rows are turns of their own. Rows with a null conversation id are one conversation. Records
-whose fingerprint has no mapping, or that aren't JSON objects, have null turns. Extra columns of
-rows by turn are ignored; an extra field of a record makes another layout. An empty table gives an empty result.
+without a mapping, with messages that aren't objects or none of which has a role or text, or that aren't JSON objects, have null turns. Extra columns of
+rows by turn are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,17 +33,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common as C
 
-#: Layouts: the field paths, and where turns come from. ``each`` names a list with the fields of role
-#: and text; ``roles`` gives each role with the fields whose texts, joined by blank lines, it says.
+#: Layouts: the field paths, those that may be missing, and where turns come from. ``each`` names a list with the fields of
+#: role and text; ``roles`` gives each role with the fields whose texts, joined by blank lines, it says.
 LAYOUTS = [
     {"paths": ["conv_id", "role", "text", "turn"], "rows": {"key": "conv_id", "order": "turn", "role": "role", "text": "text"}},
-    {"paths": ["messages[].content", "messages[].role"], "each": ("messages", "role", "content")},
-    {"paths": ["conversations[].from", "conversations[].value"], "each": ("conversations", "from", "value")},
-    {"paths": ["completion", "prompt"], "roles": [("user", ["prompt"]), ("assistant", ["completion"])]},
-    {"paths": ["prompt", "response"], "roles": [("user", ["prompt"]), ("assistant", ["response"])]},
-    {"paths": ["prompt", "response", "system"], "roles": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
-    {"paths": ["instruction", "output"], "roles": [("user", ["instruction"]), ("assistant", ["output"])]},
-    {"paths": ["input", "instruction", "output"], "roles": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    {"paths": [], "optional": ["messages[]", "messages[].content", "messages[].role", "system"], "each": ("messages", "role", "content")},
+    {"paths": [], "optional": ["conversations[]", "conversations[].from", "conversations[].value", "system"], "each": ("conversations", "from", "value")},
+    {"paths": ["completion", "prompt"], "optional": ["system"], "roles": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
+    {"paths": ["prompt", "response"], "optional": ["system"], "roles": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
+    {"paths": ["instruction", "output"], "optional": ["input", "system"], "roles": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]},
 ]
 #: Other names of the roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -59,20 +61,54 @@ def fingerprint(paths: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-MAPPINGS = {fingerprint(layout["paths"]): layout for layout in LAYOUTS}
+def _registered(layout: dict) -> Iterator[list[str]]:
+    """The sets of paths that a layout may have: a list's layout has at least one path of the list."""
+    some = layout.get("optional", [])
+    for n in range(len(some) + 1):
+        for more in combinations(some, n):
+            if "each" not in layout or any(p.startswith(f"{layout['each'][0]}[]") for p in more):
+                yield layout["paths"] + list(more)
+
+
+MAPPINGS = {fingerprint(paths): layout for layout in LAYOUTS for paths in _registered(layout)}
+
+
+def _within(path: str, field: str) -> bool:
+    """Whether ``path`` is the field or stands inside it; ``x[]`` is only itself, an element without fields."""
+    return path == field or not field.endswith("[]") and path.startswith((f"{field}.", f"{field}[]"))
+
+
+def layout_of(paths: set[str], by_rows: bool = False) -> tuple[str, dict | None]:
+    """The fingerprint of the paths that a mapping uses, and this mapping; without one, the fingerprint of all paths."""
+    fits = {}
+    for layout in LAYOUTS:
+        used = [field for field in layout["paths"] + layout.get("optional", []) if any(_within(p, field) for p in paths)]
+        if ("rows" in layout) == by_rows and MAPPINGS.get(key := fingerprint(used)) is layout:
+            fits.setdefault("roles" not in layout, []).append((key, layout))
+    found = fits.get(True) or fits.get(False) or []
+    return found[0] if len(found) == 1 else (fingerprint(paths), None)
+
+
+def _say(x: object) -> str:
+    if isinstance(x, list):
+        return "\n\n".join(filter(None, (_say(p["text"]) if isinstance(p, dict) and isinstance(p.get("text"), str) else _say(p) for p in x)))
+    return "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
 def turns_of(record: object) -> tuple[str, list[dict] | None]:
     """A record's fingerprint and its turns."""
-    key = fingerprint(field_paths(record))
-    layout = MAPPINGS.get(key)
-    if layout is None or "rows" in layout:
+    key, layout = layout_of(field_paths(record))
+    if layout is None:
         return key, None
-    say = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if "each" in layout:
         name, role, text = layout["each"]
-        return key, [{"role": ROLES.get(say(m[role]), say(m[role])), "text": say(m[text])} for m in record[name] if role in m and text in m]
-    return key, [{"role": role, "text": "\n\n".join(filter(None, (say(record[f]) for f in fields)))} for role, fields in layout["roles"]]
+        said = record[name]
+        if not isinstance(said, list) or not all(isinstance(m, dict) for m in said) or said and not any(role in m or text in m for m in said):
+            return key, None
+        first = [{"role": "system", "text": _say(record["system"])}] if "system" in record else []
+        return key, first + [{"role": ROLES.get(_say(m.get(role)), _say(m.get(role))), "text": _say(m.get(text))} for m in said]
+    told = ((role, [f for f in fields if f in record]) for role, fields in layout["roles"])
+    return key, [{"role": role, "text": "\n\n".join(filter(None, (_say(record[f]) for f in fields)))} for role, fields in told if fields]
 
 
 def canonical(records: DataFrame, json_col: str = "record") -> DataFrame:
