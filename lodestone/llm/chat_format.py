@@ -177,10 +177,10 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def format_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss) from rows by turn, whose layout is found by the schema's fingerprint."""
     names = set(rows.columns)
-    fits = [x["rows"] for x in LAYOUTS if "rows" in x and set(x["paths"]) <= names and MAPPINGS[fingerprint(x["paths"])] is x]
-    if not fits:
+    _, layout = layout_of(names, by_rows=True)
+    if layout is None:
         raise ValueError(f"no mapping for rows with {sorted(names)}")
-    key, order, role, text = (fits[0][k] for k in ("key", "order", "role", "text"))
+    key, order, role, text = (layout["rows"][k] for k in ("key", "order", "role", "text"))
     picked = rows.select(F.col(key).cast("long").alias("conv_id"), F.col(order).cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,10 @@ def test_turns(record, turns):
     assert (got if got is None else [tuple(t.values()) for t in got]) == turns
 
 
-def test_column(spark):
+def test_column_and_rows_use_the_same_selection(spark):
     df = spark.createDataFrame([(json.dumps(r),) for r, _ in CASES], "record string")
     assert [None if r.turns is None else [tuple(t) for t in r.turns] for r in T.canonical(df).collect()] == [t for _, t in CASES]
+    rows = T.LAYOUTS[0]
+    assert T.layout_of({"conv_id", "turn", "role", "text", "more"}, by_rows=True) == (T.fingerprint(rows["paths"]), rows)
+    with pytest.raises(ValueError, match="no mapping"):
+        T.format_rows(spark.createDataFrame([(1, "x")], "conv_id long, text string"))
