@@ -9,8 +9,12 @@ Two documents are linked if their item sequences, aligned in order, share at lea
 their union. Labelled items are unique in a document, so the alignment is the longest ascending
 run of matched places; only matches inside the band that the threshold leaves can count.
 
-At the threshold one sketch agrees with probability ``SIMILAR ** PICKED``; a pair at the threshold escapes all
-of them with probability (1 - SIMILAR ** PICKED) ** SKETCHES, under one in a million here.
+Of U items in the union, I of them shared, one sketch agrees with probability C(I, 4) / C(U, 4) where the order is the
+same; at the threshold this tends to ``SIMILAR ** PICKED`` from below as U grows, so pairs of few items escape all
+sketches more often than (1 - SIMILAR ** PICKED) ** SKETCHES, 6.6e-7. So documents of up to ``FEW`` items
+have an exact way: similar documents of n items share ``SIMILAR`` n of them at least, so the ``PICKED`` smallest that
+they share are among the first n - ceil(SIMILAR n) + PICKED of each, in the order of hashes. Each choice of
+``PICKED`` of these is a sketch of its own, also for documents of up to FEW / SIMILAR items, which small ones may be similar to.
 
 Steps, none of which gathers a group in one task or pairs all of its members:
 
@@ -34,6 +38,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +54,8 @@ K = 5
 SIMILAR = 0.8
 PICKED = 4
 SKETCHES = 27
+#: Items up to which a document has no chance sketches but exact ones.
+FEW = 20
 #: Bins that a signature has for each item, at least; and its least number of bins.
 SPREAD, BITS = 8, 2048
 
@@ -104,6 +112,32 @@ def sketches_of(items: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_sketches_of(items: np.ndarray) -> np.ndarray:
+    """One number for each choice of ``PICKED`` items (all, if there are fewer) of those that a similar document must share some of."""
+    n = len(items)
+    size = min(PICKED, n)
+    least = -(-n * round(100 * SIMILAR) // 100)
+    chosen = np.sort(items)[_choices(n - least + size, size)]
+    out = np.full(len(chosen), n if n < PICKED else PICKED, np.uint64)
+    for k in range(size):
+        out = _mix(out * _ODD2 + chosen[:, k])
+    return out
+
+
+@cache
+def _choices(n: int, size: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), size)), np.int64)
+
+
+def all_sketches_of(items: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Similar documents of which one has up to ``FEW`` items share one of these for sure, others nearly so."""
+    n = len(items)
+    if not n:
+        return items
+    exact = exact_sketches_of(items) if n * SIMILAR <= FEW + 1e-9 else items[:0]
+    return np.concatenate([sketches_of(items, seeds) if n > FEW else items[:0], exact])
+
+
 def similarity(a: dict[int, int], b: dict[int, int], least: float = SIMILAR) -> float:
     """Aligned items over the union of items; pairs below ``least`` may be given less than they have.
 
@@ -146,7 +180,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 items = items_of(words_of(text), known)
                 keys.append(xxhash.xxh3_128_digest(text.encode()))
                 sizes.append(len(items))
-                picked.append(sketches_of(items, seeds).view(np.int64).tolist() if len(items) else [])
+                picked.append(all_sketches_of(items, seeds).view(np.int64).tolist())
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(picked, pa.list_(pa.int64()))], names=["id", "text_key", "n_items", "sketches"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -223,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the first of equal texts goes on
     first = F.struct("n_items", "sketches")
     distinct = C.materialize(rows.groupBy("text_key").agg(F.first(first).alias("f")).select("text_key", "f.*"), "distinct")
-    signed = distinct.select("text_key", F.posexplode("sketches").alias("band", "value")).select("text_key", F.xxhash64("band", "value").alias("bucket"))
+    signed = distinct.select("text_key", F.explode("sketches").alias("bucket"))
     groups = signed.groupBy("bucket").count().where("count > 1").select("bucket")
     members = C.materialize(signed.join(groups, "bucket"), "members")
     pivots = members.groupBy("bucket").agg(F.array(F.min("text_key"), F.max("text_key"), F.min(F.struct(F.xxhash64("text_key"), "text_key")).getField("text_key")).alias("pivots"))
