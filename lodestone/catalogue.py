@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.functions.conditions import term
 from lodestone.operators import relational as R
 from lodestone.operators import sorting as S
 from lodestone.plans.engine import Engine
+from lodestone.plans.grammar import parse
 from lodestone.session import scratch_path
 
 
@@ -37,12 +39,13 @@ def _do(engine: Engine, *statements: str) -> DataFrame | None:
 
 
 def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of one select statement over the table that it names."""
+    """A query of one select statement over the tables that it names."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark, scratch_path(spark, "catalog"))
-        name = text.split(" from ")[1].split()[0]
-        engine.register(name, _table(spark, sf_dir, name))
+        statement = parse(text)
+        for name in filter(None, (statement.table, statement.other)):
+            engine.register(name, _table(spark, sf_dir, name))
         return _do(engine, text)
 
     return run
@@ -113,6 +116,13 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_rows(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
+def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """What can be told of the generator's rows: their number, keys, constant and the range of their integers."""
+    rows = S.random_rows(spark, 10_000)
+    inside = lambda c: F.min(F.col(c).between(-(1 << 31), (1 << 31) - 1))
+    return rows.agg(F.count("*").alias("n"), F.min("pkey").alias("low"), F.max("pkey").alias("high"), F.countDistinct("pkey").alias("n_keys"), F.min("c").alias("c"), (inside("x") & inside("y")).alias("inside"), (F.countDistinct("y") > 9_900).alias("spread"))
+
+
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.row_count(_statement("select {o_orderkey} from orders where o_custkey == 7")(spark, sf_dir))
 
@@ -126,6 +136,22 @@ def index_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, indexes string")
 
 
+def statement_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a select found, as its result tells."""
+    engine = Engine(spark, scratch_path(spark, "catalog"))
+    engine.register("lineitem", _table(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame([(engine.execute("select {l_orderkey} from lineitem where l_quantity <= 5").n,)], "n long")
+
+
+def remove_entry(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """One of several rows with equal keys goes, by its hidden key."""
+    engine = Engine(spark, scratch_path(spark, "catalog"))
+    _do(engine, "create table t{key: int, pkey: int}", "index on {key} in t", *(f"insert into t{{{k}, {p}}}" for k, p in ((71, 5), (71, 6), (71, 7), (10, 1))))
+    if not engine.remove("t", "key", "71", 2) or engine.remove("t", "key", "71", 4) or engine.remove("t", "key", "71", 2):
+        raise RuntimeError("remove found another row")
+    return _do(engine, "select * from t")
+
+
 def create_insert_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _engine(spark, sf_dir)
     create = "create table t{a: int, b: float, c: bool, d: char, e: string(5), f: long}"
@@ -165,10 +191,21 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "index_catalog": (index_catalog, "select * from (values ('marks', 'rollno'), ('nation', 'n_regionkey,n_name'), ('region', '')) t(table_name, indexes)"),
     "sorted_relation": (sorted_relation, "select l_partkey, l_orderkey from lineitem order by 1, 2"),
-    "sort_with_position": (sort_with_position, "select o_custkey, o_orderkey, cast(row_number() over (order by o_custkey, o_orderkey) as int) as pos from orders"),
-    "sort_skip_deleted": (sort_skip_deleted, "select o_custkey, o_orderkey, cast(row_number() over (order by o_custkey, o_orderkey) as int) as pos from orders where not (o_custkey = 7)"),
+    "sort_with_position": (sort_with_position, "select o_custkey, o_orderkey, row_number() over (order by o_custkey, o_orderkey) as pos from orders"),
+    "sort_skip_deleted": (sort_skip_deleted, "select o_custkey, o_orderkey, row_number() over (order by o_custkey, o_orderkey) as pos from orders where not (o_custkey = 7)"),
     "sort_to_text": (sort_to_text, "select cast(o_custkey as varchar) as line from orders"),
     "complex_condition": (complex_condition, "select o_orderkey from orders where (o_custkey < 50 or o_orderstatus = 'P') and not (o_totalprice < 100000)"),
+    "statement_join": (_statement("select {o_orderkey, l_linenumber} from orders join lineitem on o_orderkey == l_orderkey where l_quantity < 5"), "select o_orderkey, l_linenumber from orders join lineitem on o_orderkey = l_orderkey where l_quantity < 5"),
+    "statement_cross": (_statement("select {n_name, r_name} from nation cross region where n_regionkey == 1"), "select n_name, r_name from nation cross join region where n_regionkey = 1"),
+    "statement_complex": (
+        _statement('select {o_orderkey} from orders where (o_custkey < 50 || o_orderstatus == "P") && !(o_totalprice < 100000)'),
+        "select o_orderkey from orders where (o_custkey < 50 or o_orderstatus = 'P') and not (o_totalprice < 100000)",
+    ),
+    "key_order": (_statement("select {o_custkey, o_orderkey} from orders where o_custkey <= 300 order by o_custkey"), "select o_custkey, o_orderkey from orders where o_custkey <= 300 order by 1"),
+    "key_order_descending": (_statement("select {o_custkey, o_orderkey} from orders order by o_custkey desc"), "select o_custkey, o_orderkey from orders order by 1 desc"),
+    "statement_count": (statement_count, "select count(*) as n from lineitem where l_quantity <= 5"),
+    "remove_entry": (remove_entry, "select * from (values (71, 5), (71, 7), (10, 1)) t(key, pkey)"),
+    "generated_rows": (generated_rows, "select cast(10000 as bigint) as n, cast(1 as bigint) as low, cast(10000 as bigint) as high, cast(10000 as bigint) as n_keys, 'A' as c, true as inside, true as spread"),
     "point_lookup": (point_lookup, "select count(*) > 0 as found from orders where o_custkey = 7"),
     "text_rows": (text_rows, "select concat_ws(' | ', cast(n_nationkey as varchar), n_name, cast(n_regionkey as varchar)) as line from nation"),
     "row_count": (row_count, "select count(*) as n from orders where o_custkey = 7"),

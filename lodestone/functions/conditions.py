@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.errors import Outcome, StatementError
 from lodestone.functions.types import literal
 
+#: A condition: (column, operator, literal), or a mark and the conditions that it combines.
+Tree = tuple
+AND, OR, NOT = "&&", "||", "!"
 OPERATORS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 
 
@@ -29,9 +32,18 @@ def term(df: DataFrame, name: str, op: str, text: str, declared: dict[str, str]
     return OPERATORS[op](F.col(f"`{name}`"), literal(text, kind, (declared or {}).get(name), in_condition=True))
 
 
-def all_of(df: DataFrame, terms: list[tuple[str, str, str]], declared: dict[str, str] | None = None) -> Column:
-    out = F.lit(True)
-    for k, (name, op, text) in enumerate(terms):
-        one = term(df, name, op, text, declared)
-        out = one if k == 0 else out & one
-    return out
+def built(df: DataFrame, tree: Tree, declared: dict[str, str] | None = None) -> Column:
+    """The condition as a column over ``df``."""
+    match tree:
+        case (mark, one) if mark == NOT:
+            return ~built(df, one, declared)
+        case (mark, one, two) if mark == AND:
+            return built(df, one, declared) & built(df, two, declared)
+        case (mark, one, two) if mark == OR:
+            return built(df, one, declared) | built(df, two, declared)
+    return term(df, *tree, declared)
+
+
+def first_column(tree: Tree) -> str:
+    """The column of a condition's first term."""
+    return first_column(tree[1]) if tree[0] in (AND, OR, NOT) else tree[0]

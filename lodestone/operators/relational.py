@@ -33,6 +33,9 @@ def natural_join(one: DataFrame, two: DataFrame, on: str | tuple[str, str], sort
 
 
 def cross_product(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Each row with each; asked for by name, never made by a join."""
+    if clash := set(one.columns) & set(two.columns):
+        raise StatementError(Outcome.INVALID_COLUMN, f"both sides have {sorted(clash)}")
     return one.crossJoin(two)
 
 

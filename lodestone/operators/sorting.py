@@ -1,7 +1,7 @@
 """External sort: (key, row) in ascending order, as a range exchange and a spilling sort.
 
 ``sort_to_files`` leaves one sorted file for each range, in the order of their names, and
-``positions`` numbers the rows of such a folder from each file's row count: no row ever passes a single task.
+``positions`` numbers the rows of such a folder, as longs, from each file's row count: no row ever passes a single task.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ def positions(spark: SparkSession, path: str, name: str = "pos") -> DataFrame:
     df = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
     # one row a file: a bounded table, which is broadcast only below the session's threshold
     files = df.groupBy("_file").agg(F.count("*").alias("_n"))
-    before = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
-    return df.join(before, "_file").withColumn(name, (F.col("_before") + F.col("_index") + 1).cast("int")).drop("_file", "_index", "_before")
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")  # as a number: names of over 99999 parts differ in length
+    before = files.select("_file", (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_before"))
+    return df.join(before, "_file").withColumn(name, F.col("_before") + F.col("_index") + 1).drop("_file", "_index", "_before")
 
 
 def sorted_text(df: DataFrame, key: str, path: str) -> None:

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.errors import CatalogError, Outcome, StatementError
-from lodestone.functions.conditions import all_of, exact
-from lodestone.functions.types import literal, value_of
-from lodestone.operators.relational import project
+from lodestone.functions.conditions import built, exact, first_column
+from lodestone.functions.types import literal, size_of, value_of
+from lodestone.operators.relational import cross_product, natural_join, project
 from lodestone.plans import grammar as G
 from lodestone.sources.catalog import KEY, Catalog, Table
 
 
-@dataclass
 class Result:
-    outcome: str
-    df: DataFrame | None = None
-    n: int | None = None
-    message: str = ""
+    """An outcome, its rows, and how many: a select's are counted when they are asked for."""
+
+    def __init__(self, outcome: str, df: DataFrame | None = None, n: int | None = None, message: str = ""):
+        self.outcome, self.df, self.message, self._n = outcome, df, message, n
+
+    @cached_property
+    def n(self) -> int | None:
+        return self.df.count() if self._n is None and self.df is not None else self._n
 
 
 class Engine:
@@ -50,22 +54,47 @@ class Engine:
         return self.views[name] if name in self.views else self.catalog.read(self.catalog.get(name))
 
     def insert_many(self, name: str, rows: DataFrame) -> Result:
-        """Append the rows of a DataFrame with the table's columns, cast safely; keys follow partitions."""
+        """Append the rows of a DataFrame with the table's columns, under the same checks as single inserts; keys follow partitions.
+
+        A value that cannot be cast to its column's type raises; one bad row keeps all out.
+        """
         table = self.catalog.get(name)
         rows = rows.select(*(F.col(f"`{exact(rows, f.name)}`").cast(f.dataType).alias(f.name) for f in table.schema))
-        staged = f"{self.catalog.root}/{name}/data-staged"
-        rows.write.mode("overwrite").parquet(staged)  # keys need counts and rows of one evaluation
-        rows = self.spark.read.schema(table.schema).parquet(staged).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-        counts = sorted((r[0], r[1]) for r in rows.groupBy("_file").count().toLocalIterator())  # one row a file
-        before, total = [], table.next_key
-        for file, n in counts:
-            before.append((file, total))
-            total += n
-        offsets = self.spark.createDataFrame(before, "_file string, _before long")
-        keyed = rows.join(offsets, "_file").withColumn(KEY, F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
-        self.catalog.append(table, keyed, total - table.next_key)
+        staged = f"{self.catalog.root}/{name}/data-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(staged)  # keys need checks, counts and rows of one evaluation
+            rows = self.spark.read.schema(table.schema).parquet(staged).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+            some = lambda condition: F.max(F.coalesce(condition, F.lit(False)))
+            null, long, odd = F.lit(False), F.lit(False), F.lit(False)
+            for f in table.schema:
+                column, kind = F.col(f"`{f.name}`"), table.declared.get(f.name)
+                null = null | column.isNull() if kind else null
+                long = long | (F.char_length(column) > size_of(kind)) if size_of(kind) else long
+                odd = odd | (F.char_length(column) != 1) if kind == "char" else odd
+            counts = sorted(rows.groupBy("_file").agg(F.count("*"), some(null), some(long), some(odd)).toLocalIterator())  # one row a file
+            if any(r[2] or r[4] for r in counts):
+                raise StatementError(Outcome.TYPE_MISMATCH, "a value is null, or no char")
+            if any(r[3] for r in counts):
+                raise StatementError(Outcome.STRING_TOO_LARGE)
+            before, total = [], table.next_key
+            for file, n, *_ in counts:
+                before.append((file, total))
+                total += n
+            offsets = self.spark.createDataFrame(before, "_file string, _before long")
+            keyed = rows.join(offsets, "_file").withColumn(KEY, F.col("_before") + F.col("_index")).drop("_file", "_index", "_before")
+            self.catalog.append(table, keyed, total - table.next_key)
+        except StatementError as e:
+            return Result(e.outcome, message=str(e))
+        finally:
+            self.catalog.remove(staged)
         return Result(Outcome.SUCCESS, n=total - table.next_key)
 
+    def remove(self, name: str, column: str, value: str, key: int) -> bool:
+        """Delete the one row with this value and this hidden key; whether there was one."""
+        table = self._own(name)
+        found = built(self.catalog.read(table, hidden=True), ("&&", (self._known(table, column), "==", value), (KEY, "==", str(key))), table.declared)
+        return self._without(table, found) > 0
+
     # ------------------------------------------------------------------ statements
 
     def _meta(self, s: G.Meta) -> Result:
@@ -98,10 +127,16 @@ class Engine:
         return Result(Outcome.SUCCESS, n=1)
 
     def _select(self, s: G.Select) -> Result:
-        declared = {} if s.table in self.views else self.catalog.get(s.table).declared
-        df = self.table(s.table)
-        rows = df.where(all_of(df, s.where, declared)) if s.where else df
-        return Result(Outcome.SUCCESS, project(rows, s.columns))
+        df, declared = self._rows(s.table)
+        if s.other is not None:
+            other, more = self._rows(s.other, hidden=False)
+            df, declared = df.drop(KEY), declared | more
+            df = natural_join(df, other, s.on) if s.on else cross_product(df, other)
+        rows = df.where(built(df, s.where, declared)) if s.where else df
+        if s.order:
+            by, desc = F.col(f"`{exact(df, s.order[0])}`"), s.order[1]
+            rows = rows.orderBy(*(c.desc() if desc else c.asc() for c in (by, *([F.col(KEY)] if KEY in df.columns else []))))
+        return Result(Outcome.SUCCESS, project(rows, [c for c in rows.columns if c != KEY] if s.columns is None else s.columns))
 
     def _update(self, s: G.Update) -> Result:
         table = self._own(s.table)
@@ -109,24 +144,27 @@ class Engine:
         new = {self._known(table, c): literal(v, table.schema[c].dataType, table.declared.get(c)) for c, v in s.values}
         if len(new) < len(s.values):
             raise StatementError(Outcome.SYNTAX_ERROR, "a column is set twice")
-        found = all_of(df, s.where, table.declared) if s.where else F.lit(True)
-        n = df.where(found).count()
-        if n:
+        found = built(df, s.where, table.declared) if s.where else F.lit(True)
+        touched = self.catalog.touched(table, found)
+        if touched:
             met = F.coalesce(found, F.lit(False))  # files that the engine has not written may hold nulls
-            self.catalog.replace(table, df.withColumns({c: F.when(met, v).otherwise(F.col(f"`{c}`")) for c, v in new.items()}))
-        return Result(Outcome.SUCCESS, n=n)
+            self.catalog.rewrite(table, list(touched), lambda rows: rows.withColumns({c: F.when(met, v).otherwise(F.col(f"`{c}`")) for c, v in new.items()}))
+        return Result(Outcome.SUCCESS, n=sum(touched.values()))
 
     def _delete(self, s: G.Delete) -> Result:
         table = self._own(s.table)
         df = self.catalog.read(table, hidden=True)
-        found = all_of(df, s.where, table.declared)
-        if self.strict and s.where[0][0] not in table.indexes:
+        found = built(df, s.where, table.declared)
+        if self.strict and first_column(s.where) not in table.indexes:
             raise StatementError(Outcome.NOT_INDEXED)
-        gone = df.where(found)
-        n = gone.count()
-        if n:
-            self.catalog.replace(table, df.where(~F.coalesce(found, F.lit(False))))
-        return Result(Outcome.SUCCESS, gone.drop(KEY), n)
+        return Result(Outcome.SUCCESS, df.where(found).drop(KEY), self._without(table, found))
+
+    def _without(self, table: Table, found: Column) -> int:
+        """Publish the table without the rows found; their number."""
+        touched = self.catalog.touched(table, found)
+        if touched:
+            self.catalog.rewrite(table, list(touched), lambda rows: rows.where(~F.coalesce(found, F.lit(False))))
+        return sum(touched.values())
 
     def _deleteall(self, s: G.DeleteAll) -> Result:
         table = self._own(s.table)
@@ -141,6 +179,13 @@ class Engine:
 
     # ------------------------------------------------------------------ helpers
 
+    def _rows(self, name: str, hidden: bool = True) -> tuple[DataFrame, dict[str, str]]:
+        """A table's rows, with their hidden key where they have one, and its declared types."""
+        if name in self.views:
+            return self.views[name], {}
+        table = self.catalog.get(name)
+        return self.catalog.read(table, hidden), table.declared
+
     def _own(self, name: str) -> Table:
         if name in self.views:
             raise CatalogError("readOnly", f"{name} can only be read")
