@@ -90,6 +90,16 @@ def arrays_to_ids(a: dict[str, np.ndarray]) -> list[int | None]:
     return [None if gone else i for i, gone in zip(a["ids"].tolist(), a["no_id"].tolist(), strict=True)]
 
 
+# --------------------------------------------------------------------------- words
+
+_KEPT = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters and digits and of all characters beyond ASCII, as UTF-8, A-Z in lower case."""
+    return (text or "").encode().translate(_KEPT).split()
+
+
 # --------------------------------------------------------------------------- blocks
 
 
