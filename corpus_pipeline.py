@@ -17,10 +17,14 @@ the last, which adds token ids. What each one does to a document:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
+from lodestone.session import open_paths, prepare, release
 
 #: Share of letters below which a document has no language of its own.
 LEAST_SHARE = 1 / 3
@@ -28,22 +32,44 @@ LEAST_SHARE = 1 / 3
 LEAST_GAIN = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+_LEFT: list[str] = []  # what the stage before has stored beside its result
+
+
+def _stage(own: Stage) -> Stage:
+    """A stage's result is written before the next one begins, which deletes what only the one before still needed."""
+
+    @wraps(own)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_LEFT, docs)
+        before = set(open_paths())
+        out = own(prepare(spark), docs, sf_dir)
+        _LEFT[:] = [p for p in open_paths() if p not in before]
+        return out
+
+    return run
+
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     from lodestone.llm.language_id import UNDETERMINED, fit, identify
 
     docs = docs.select(*COLUMNS)
-    found = identify(docs, fit(docs), keep=("text", "source", "n_chars"))
+    found = identify(docs, fit(docs), keep=("text", "source", "n_chars"), with_spans=False)
     found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE) & (F.col("gain") >= LEAST_GAIN))
     return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     from lodestone.llm.near_dedup import first_of_classes
 
     return first_of_classes(docs.select(*COLUMNS))
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     from lodestone.llm.substring_dedup import factorize
 
@@ -53,6 +79,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontamination import contamination
 
@@ -62,6 +89,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clean.select("doc_id", F.col("_own").alias("text"), "lang", "source", "n_chars")
 
 
+@_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     import public_tokenizers
 
