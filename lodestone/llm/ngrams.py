@@ -7,8 +7,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of letters with their marks.
-WORD = r"[\p{L}\p{M}]+"
+#: A word is a letter and the letters and marks that follow it.
+WORD = r"\p{L}[\p{L}\p{M}]*"
 _FIRST, _LAST = "\x02", "\x03"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # a fixed odd multiplier: 2^64 over the golden ratio
 
@@ -44,9 +44,12 @@ def grams(words: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndar
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """All rows if they are at most ``bound``, else about ``bound`` of them by a hash of ``key``."""
+    """All distinct rows if there are at most ``bound`` rows, else about ``bound`` of the distinct ones by a hash of ``key`` and text.
+
+    Rows that are equal in all columns count once, so no key, however often it is repeated, brings in more than its texts.
+    """
     n = rows.count()
     if n <= bound:
-        return rows
+        return rows.distinct()
     share = int(bound / n * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < share)
+    return rows.where(F.pmod(F.xxhash64(F.col(key), F.col("text"), F.lit("sample")), F.lit(1 << 30)) < share).distinct()
