@@ -6,11 +6,13 @@ smoothed shares in toxic and other documents, and logistic regression with L1 an
 fitted on the scaled features. Score: the logistic function of the document's sum.
 
 The model is fitted on at most about ``SAMPLE`` labelled documents of each run, a bounded sample, each text
-whole. It holds 2^BITS weights.
+whole: labels are sampled by their ids before they meet any text, and only the sample's texts are moved. It
+holds 2^BITS weights.
 
-Null and empty texts score as the classifier's intercept. Rows with a null label or text teach
-nothing. With one class only (or none), every score is the smoothed share of toxic rows. Null or
-repeated ids give a row each; extra columns are ignored; an empty table gives an empty result.
+Null and empty texts score as the classifier's intercept. Rows with a null id, label or text teach
+nothing; equal rows teach once, and an id with several labels or texts teaches each pair of them. With one class
+only (or none), every score is the smoothed share of toxic rows. Null or
+repeated ids give a row each; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from lodestone.llm.ngrams import bounded_sample, grams, word_finder
 SAMPLE = 6000
 ORDERS = (3, 4, 5)
 BITS = 18
-STEPS = 100
+STEPS = 600
 #: Features whose log-count ratio is nearer to 0 carry next to nothing and are left out.
 LEAST_RATIO = 0.7
 L1, L2 = 2e-4, 1e-5
@@ -47,6 +49,16 @@ class Model:
         return np.bincount(owner, weights=self.weights[hashes], minlength=len(words))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """(id, text, label) of about ``sample`` labels at most, chosen by a hash of their ids."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    n = known.count()
+    if n > sample:
+        known = known.where(F.pmod(F.xxhash64("id", F.lit("labels")), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    return rows.join(F.broadcast(known.distinct()), "id").select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("label").alias(label_col))  # about ``sample`` rows of 12 bytes
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
 
@@ -63,8 +75,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         model = _train(index, counts, np.array(lens, np.int64), np.array(labels, np.float32))
         yield pa.record_batch([pa.array([C.pack(w=model.weights, b=np.array([model.intercept]))], pa.binary())], names=["model"])
 
-    # one task: the sample is bounded, and so is what it holds
-    kept = bounded_sample(rows, "id", sample).select("text", "label").coalesce(1)
+    # one task gets the sample and nothing else, in one order whatever the partitions were
+    kept = bounded_sample(rows, "id", sample).select("text", "label").repartition(1).sortWithinPartitions("text", "label")
     got = [C.unpack(r.model) for r in kept.mapInArrow(train, "model binary").collect()]
     return Model(got[0]["w"], float(got[0]["b"][0])) if got else Model(np.zeros(1 << BITS, np.float32), 0.0)
 
@@ -118,7 +130,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             texts = batch.column(1).to_pylist()
             sums = []
             for start, end in C.slices(len(t or "") for t in texts):
-                if len(known) > 400_000:  # what a worker remembers stays bounded
+                if len(known) > 200_000:  # what a worker remembers stays bounded
                     known = {}
                 sets = [set(find(t or "")) for t in texts[start:end]]
                 new = [w for w in set(chain.from_iterable(sets)) if w not in known]
