@@ -9,7 +9,7 @@ Likeness of two trees: twice the code points of distinct leaves that both hold,
 points of the distinct leaves of both; 1.0 for two texts without code points.
 
 Null text counts as empty. The next document is the one with the next smaller id, after the
-smallest the largest; rows of equal id follow each other by text, and null ids count as smallest.
+smallest the largest; rows of equal id follow each other by text, and null ids count as smallest. Rows of one id meet in one task.
 Extra columns are ignored. An empty table gives an empty result; a document alone is its own
 next one.
 """
@@ -23,6 +23,8 @@ from lodestone.llm.common import materialize, shuffle_width
 
 #: Documents in a bucket of neighbouring ids, about.
 NEIGHBOURS = 256
+#: Parts of about equally many documents that the ids' range is cut into before it is cut evenly: the square of this number.
+PARTS = 16
 #: Buckets whose order is settled in one task.
 FAN = 4096
 
@@ -32,21 +34,20 @@ def _sections(text: Column) -> Column:
     return F.transform(F.split(text, "\n\n", -1), lambda section: F.transform(F.split(section, "\n", -1), lambda paragraph: F.split(paragraph, r"\. ", -1)))
 
 
-def _hash(children: Column) -> Column:
-    return F.sha2(F.array_join(children, ",").cast("binary"), 256)
+def _hash(nodes: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(nodes, lambda n: n["hash"]), ",").cast("binary"), 256)
 
 
 def tree(text: Column) -> Column:
-    """The sections: (hash, paragraphs: (hash, sentences: hashes))."""
-    paragraph = lambda sentences: F.transform(sentences, lambda s: F.sha2(s.cast("binary"), 256))
-    hashed = lambda hashes: F.struct(_hash(hashes).alias("hash"), hashes.alias("sentences"))
-    section = lambda nodes: F.struct(_hash(F.transform(nodes, lambda n: n["hash"])).alias("hash"), nodes.alias("paragraphs"))
-    return F.transform(_sections(text), lambda s: section(F.transform(s, lambda p: hashed(paragraph(p)))))
+    """The sections: (hash, paragraphs: (hash, sentences: (hash, code points)))."""
+    node = lambda nodes, name: F.struct(_hash(nodes).alias("hash"), nodes.alias(name))
+    leaf = lambda s: F.struct(F.sha2(s.cast("binary"), 256).alias("hash"), F.char_length(s).alias("n"))
+    return F.transform(_sections(text), lambda section: node(F.transform(section, lambda paragraph: node(F.transform(paragraph, leaf), "sentences")), "paragraphs"))
 
 
 def root(sections: Column) -> Column:
     """The root of a tree: the fingerprint."""
-    return _hash(F.transform(sections, lambda s: s["hash"]))
+    return _hash(sections)
 
 
 def differing(one: Column, two: Column) -> Column:
@@ -59,9 +60,10 @@ def differing(one: Column, two: Column) -> Column:
     return F.flatten(F.transform(one, lambda s, i: F.when(s["hash"].eqNullSafe(ahead(two, i)), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(of(s, i))))
 
 
-def leaf_set(text: Column) -> Column:
-    """The distinct leaves: 16 hexadecimal digits of the sentence's hash, then its code points."""
-    return F.array_distinct(F.transform(F.flatten(F.flatten(_sections(text))), lambda s: F.concat(F.substring(F.sha2(s.cast("binary"), 256), 1, 16), F.char_length(s).cast("string"))))
+def leaf_set(sections: Column) -> Column:
+    """The distinct leaves of a tree: 16 hexadecimal digits of the sentence's hash, then its code points."""
+    leaves = F.flatten(F.flatten(F.transform(sections, lambda s: F.transform(s["paragraphs"], lambda p: p["sentences"]))))
+    return F.array_distinct(F.transform(leaves, lambda leaf: F.concat(F.substring(leaf["hash"], 1, 16), leaf["n"].cast("string"))))
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -74,14 +76,14 @@ def likeness(one: Column, two: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, next_text) for each row, in one shuffle of the texts.
 
-    Rows are dealt by buckets of neighbouring ids; only the last row of each bucket must look into
+    Rows are dealt by buckets of neighbouring ids: ids' quantiles cut the table into parts, and each part's range is cut
+    evenly, so outlying or clustered ids fill no bucket with more than a part. Only the last row of each bucket must look into
     another one, which small tables of buckets and of first rows settle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    width = max(1.0, (high - low + 1) * NEIGHBOURS / max(n, 1)) if low is not None else 1.0
-    bucket = F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low or 0))) / width), F.lit(-1)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    cuts = [k / PARTS**2 for k in range(1, PARTS**2)]
+    low, high, n, inner = rows.agg(F.min("id"), F.max("id"), F.count("*"), F.percentile_approx("id", cuts)).first()
+    rows = rows.withColumn("bucket", _bucket(low, high, n, inner or []))
 
     buckets = rows.select("bucket").distinct().withColumn("fan", F.floor(F.col("bucket") / FAN))
     buckets = materialize(buckets, "buckets")
@@ -99,6 +101,22 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return within.union(across).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
+def _bucket(low: int | None, high: int | None, n: int, inner: list[int]) -> Column:
+    """The number of an id's bucket, ascending with the ids; -1 for null."""
+    if low is None:
+        return F.lit(-1).cast("long")
+    first = sorted({low, *inner})  # of each part
+    last = [*(x - 1 for x in first[1:]), high]
+    each = -(-n // (len(first) * NEIGHBOURS))  # buckets in a part
+    groups = [first[k : k + PARTS] for k in range(0, len(first), PARTS)]
+    many = lambda values: F.array(*(F.lit(x).cast("long") for x in values))
+    up_to = lambda values: F.size(F.filter(values, lambda x: x <= F.col("id")))
+    group = up_to(many(g[0] for g in groups)) - 1
+    part = group * PARTS + up_to(F.get(F.array(*map(many, groups)), group)) - 1
+    inside = (F.col("id").cast("double") - F.get(many(first), part).cast("double")) * each / (F.get(many(last), part).cast("double") - F.get(many(first), part).cast("double") + 1)
+    return F.coalesce(part.cast("long") * each + F.least(F.floor(inside), F.lit(each - 1)).cast("long"), F.lit(-1).cast("long"))
+
+
 def edited(text: Column, other: Column) -> Column:
     """``text`` whose last half gives way to as many first code points of ``other``, or all it has."""
     half = F.floor(F.char_length(text) / 2).cast("int")

@@ -12,14 +12,16 @@ CONTEXT = 2048
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.fingerprints import edited, leaf_set, likeness, root, tree, with_next
+    from lodestone.llm.fingerprints import differing, edited, leaf_set, likeness, root, tree, with_next
 
     docs = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    docs = docs.withColumns({f"{c}_leaves": leaf_set(F.col(c)) for c in ("text", "edited", "next_text")})
+    docs = docs.withColumns({f"{c}_tree": tree(F.col(c)) for c in ("text", "edited", "next_text")})
+    docs = docs.withColumns({f"{c}_leaves": leaf_set(F.col(f"{c}_tree")) for c in ("text", "edited", "next_text")})
     return docs.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        root(tree(F.col("text"))).alias("fingerprint"), root(tree(F.col("edited"))).alias("edited_fingerprint"),
+        root(F.col("text_tree")).alias("fingerprint"), root(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("text_leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("text_leaves"), F.col("next_text_leaves")).alias("near_next"),
+        F.size(differing(F.col("text_tree"), F.col("edited_tree"))).cast("long").alias("n_differing"),
     )
 
 
@@ -64,13 +66,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    full = read(spark, path, type="response").select(
-        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")
-    )
-    again = read(spark, path, type="revisit", payload="false").select(
-        number("record_id").alias("page_id"), F.col("full_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to")
-    )
-    return full.union(again)
+    own = F.col("type") == "response"  # the one read of the archives yields payloads of responses only
+    return read(spark, path).select(
+        number("record_id").alias("page_id"), F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("full_length")).alias("payload_bytes"),
+        F.when(own, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"),
+    )
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -101,7 +101,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring_dedup import factorize
 
     out = factorize(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +112,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.llm.toxicity import fit, score
+    from lodestone.llm.toxicity import fit, labelled, score
 
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    out = score(docs, fit(docs.where(~held_out()).join(labels, "doc_id")))
+    out = score(docs, fit(labelled(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))))
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
@@ -134,14 +133,47 @@ _LEAVES = "list_distinct(list_transform(flatten(flatten(" + _SECTIONS + ")), lam
 _SIZE = "coalesce(list_sum(list_transform({0}, lambda x: substr(x, 17)::BIGINT)), 0)"
 _NEAR = f"CASE WHEN {_SIZE.format('{0}')} + {_SIZE.format('{1}')} = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {_SIZE.format('list_intersect({0}, {1})')} / ({_SIZE.format('{0}')} + {_SIZE.format('{1}')}) END"
 
+_DIFFER = "coalesce(list_sum(list_transform(s, lambda x, i: len(list_filter(x, lambda p, k: p IS DISTINCT FROM t[i][k])))), 0)::BIGINT"
+#: Words of decontamination: A-Z in lower case, then runs of digits, letters and what is beyond ASCII.
+_WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op3_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS t(k)
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(length('### : </turn>') + 1 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
+    "op7_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+        i AS (SELECT row_number() OVER () AS q, item_id, {_WORDS.format('text')} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, q, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS p FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        occ AS (
+            SELECT s.r, s.k, s.n, win.item_id FROM (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win))) s
+            JOIN win ON s.p = win.p AND s.n = win.n
+        ),
+        hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS at FROM occ) GROUP BY r),
+        own AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT r, item_id FROM occ WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)""",
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, k, array_to_string(w[k:k + 19], ' ') AS p FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS k FROM d)),
+        later AS (SELECT r, k FROM win QUALIFY row_number() OVER (PARTITION BY p ORDER BY r, k) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(k, k + 20)) AS place FROM later),
+        each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM each ANTI JOIN gone USING (r, place) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op1_fingerprints": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, text), first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, text)) AS next_text FROM d),
         e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
-        l AS (SELECT *, {_LEAVES.format('text')} AS a, {_LEAVES.format('edited')} AS b, {_LEAVES.format('next_text')} AS c FROM e)
+        l AS (SELECT *, {_LEAVES.format('text')} AS a, {_LEAVES.format('edited')} AS b, {_LEAVES.format('next_text')} AS c, {_SECTIONS.format('text')} AS s, {_SECTIONS.format('edited')} AS t FROM e)
         SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {_ROOT.format('text')} AS fingerprint, {_ROOT.format('edited')} AS edited_fingerprint,
-            {_NEAR.format('a', 'b')} AS near_edited, {_NEAR.format('a', 'c')} AS near_next FROM l""",
+            {_NEAR.format('a', 'b')} AS near_edited, {_NEAR.format('a', 'c')} AS near_next, {_DIFFER} AS n_differing FROM l""",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM p)

@@ -1,36 +1,46 @@
-"""WARC archives: a writer by Spark's text sink, and a Python data source that reads them.
+"""WARC archives: a Python data source that writes and reads them.
 
-Writing needs no Python: a record is one string, and records are separated by what WARC puts
-between them, so Spark's own commit protocol keeps archives whole when executors are lost. Of
+Writing (``write``): DataFrame functions make one string for each record; each task packs its records, one gzip member
+each, into a file of its own, and the driver's commit gives the files that tasks report their names. Files of lost or
+repeated tasks stay hidden and are removed. Of
 pages with equal payloads of at least ``LEAST`` bytes the one with the largest id is a response and the
 others are revisits that refer to it; rows that share that id are all responses.
 
-Reading (``spark.read.format("warc")``) plans partitions of whole files, parses a record's headers first, tests
-the predicates on them, and only reads and decodes the payload of records that pass; it steps
-over other payloads. Predicates come from the options ``type``, ``uri_prefix`` and ``digest`` or, where
-Spark pushes filters to Python sources, from filters on these columns. ``payload=false`` reads headers only.
+A member's gzip header has the extra field ``sl``, with the member's bytes and those of its content, four
+each in little-endian order, so a reader knows where the next record begins before it inflates anything.
+
+Reading (``spark.read.format("warc")``) plans partitions of whole files, inflates and parses a record's headers first, tests
+the predicates on them, and only inflates and decodes the payload of records that pass; over other members it
+steps by their length. Archives without that field, gzipped in one piece or plain, are read through. Predicates come from the options ``type``, ``uri_prefix`` and ``digest`` or, where
+Spark pushes filters to Python sources, from filters on these columns. ``payload=false`` reads headers only. The payload of a record
+that holds no HTTP message (``warcinfo``, ``metadata``, ...) is its whole block. Header bytes that aren't UTF-8 are replaced.
 
 Null html counts as empty, a null url leaves out the header, null ids are written as ``null``
-and read as null. Repeated rows are records of their own. An empty table makes an archive without records.
+and read as null. Repeated rows are records of their own. An empty table makes an empty folder, which reads as no rows. A file that is cut off or no archive is an error.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 #: Bytes from which equal payloads are written once.
 LEAST = 1000
 #: Bytes of archives in one partition of a read, at least one file.
 PART_BYTES = 64 << 20
 BETWEEN = "\r\n\r\n"
+#: zlib's level; bytes of a member before its deflated content; bytes of a member that are inflated first, for its headers.
+LEVEL, HEAD, FIRST = 6, 24, 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, type string, target_uri string, digest string, refers_to string, full_length long, payload binary"
 _HEADERS = {"record_id": "warc-record-id", "type": "warc-type", "target_uri": "warc-target-uri", "digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -70,8 +80,61 @@ def records(pages: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of ``pages``, one gzip member each, in a new folder."""
-    records(pages).write.option("lineSep", BETWEEN).option("compression", "gzip").text(path)
+    """Archives of ``pages`` in a folder."""
+    pages.sparkSession.dataSource.register(WarcSource)
+    records(pages).write.format("warc").mode("append").save(path)
+
+
+def member(content: bytes) -> bytes:
+    """``content`` as a gzip member that tells its length."""
+    press = zlib.compressobj(LEVEL, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = press.compress(content) + press.flush()
+    size = HEAD + len(body) + 8
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + b"\x0c\0sl\x08\0" + _four(size) + _four(len(content)) + body + _four(zlib.crc32(content)) + _four(len(content))
+
+
+def _four(n: int) -> bytes:
+    return (n & 0xFFFFFFFF).to_bytes(4, "little")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    name: str | None
+
+
+class WarcWriter(DataSourceArrowWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, at = _file_system(self.path)
+        name, out = f"part-{uuid.uuid4().hex}.warc.gz", None
+        for batch in iterator:
+            for record in batch.column(0).to_pylist():
+                if out is None:
+                    fs.create_dir(at, recursive=True)
+                    out = fs.open_output_stream(f"{at}/.{name}", compression=None, buffer_size=1 << 20)
+                out.write(member((record + BETWEEN).encode()))
+        if out is not None:
+            out.close()
+        return Written(name if out is not None else None)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, at = _file_system(self.path)
+        fs.create_dir(at, recursive=True)
+        names = {m.name for m in messages if m is not None and m.name is not None}
+        for f in fs.get_file_info(pyarrow.fs.FileSelector(at)):
+            if f.base_name.startswith(".part-"):
+                if f.base_name[1:] in names:
+                    fs.move(f.path, f"{at}/{f.base_name[1:]}")
+                else:  # of a task that was run again
+                    fs.delete_file(f.path)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, at = _file_system(self.path)
+        for m in messages:
+            if m is not None and m.name is not None:
+                fs.delete_file(f"{at}/.{m.name}")
 
 
 # --------------------------------------------------------------------------- data source
@@ -119,28 +182,76 @@ class WarcReader(DataSourceReader):
         fs, _ = _file_system(self.path)
         rows, size = [], 0
         for path in partition.paths:
-            raw = fs.open_input_file(path)
-            with io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20) as source:
-                while (headers := _headers(source)) is not None:
-                    row = {c: headers.get(name) for c, name in _HEADERS.items()}
-                    row["digest"] = row["digest"] and row["digest"].partition(":")[2]
-                    left = int(headers["content-length"])
-                    if self._passes(row):
-                        before = source.tell()
-                        inner = _headers(source) or {}
-                        left -= source.tell() - before
-                        row["full_length"] = int(inner.get("content-length", left))
-                        row["payload"] = None
-                        if self.payload and row["type"] != "revisit":
-                            row["payload"], left = source.read(left), 0
-                        rows.append(row)
-                        size += len(row["payload"] or b"") + 200
-                    source.seek(left + len(BETWEEN), io.SEEK_CUR)
-                    if size > 8_000_000:
+            with fs.open_input_file(path) as raw:
+                for row in self._rows(raw):
+                    rows.append(row)
+                    size += len(row["payload"] or b"") + 200
+                    if size > 4_000_000:
                         yield _batch(rows)
                         rows, size = [], 0
         yield _batch(rows)
 
+    def _rows(self, raw: pa.NativeFile) -> Iterator[dict]:
+        """The records that pass."""
+        if _lengths(raw.read(HEAD)):
+            at, end = 0, raw.size()
+            while at < end:
+                raw.seek(at)
+                lengths = _lengths(raw.read(HEAD))
+                if not lengths or at + lengths[0] > end:
+                    raise ValueError(f"no whole record at byte {at}")
+                inflate = zlib.decompressobj(-zlib.MAX_WBITS)
+                content = inflate.decompress(raw.read(min(FIRST, lengths[0] - HEAD)))
+                if len(content) < lengths[1] and b"\r\n\r\n" not in content:  # long headers
+                    content += inflate.decompress(raw.read(at + lengths[0] - raw.tell())) + inflate.flush()
+                row, left = self._row(content)
+                if row is not None:
+                    if len(content) < lengths[1] and (self._wants(row) or b"\r\n\r\n" not in content[left[0] :]):
+                        content += inflate.decompress(raw.read(at + lengths[0] - raw.tell())) + inflate.flush()
+                    yield self._told(row, io.BytesIO(content[left[0] :]), left[1])
+                at += lengths[0]
+            return
+        raw.seek(0)
+        zipped = raw.read(2) == b"\x1f\x8b"
+        raw.seek(0)
+        with io.BufferedReader(gzip.GzipFile(fileobj=raw) if zipped else raw, 1 << 20) as source:
+            while (headers := _headers(source)) is not None:
+                row, length = self._named(headers)
+                start = source.tell()
+                if self._passes(row):
+                    yield self._told(row, source, length)
+                source.seek(start + length + len(BETWEEN) - source.tell(), io.SEEK_CUR)
+
+    def _row(self, content: bytes) -> tuple[dict | None, tuple[int, int]]:
+        """A member's row if it passes; where its block begins, and the block's length."""
+        source = io.BytesIO(content)
+        row, length = self._named(_headers(source) or {})
+        return row if self._passes(row) else None, (source.tell(), length)
+
+    @staticmethod
+    def _named(headers: dict[str, str]) -> tuple[dict, int]:
+        row = {c: headers.get(name) for c, name in _HEADERS.items()}
+        row["digest"] = row["digest"] and row["digest"].partition(":")[2]
+        row["http"] = headers.get("content-type", "").lower().startswith("application/http")
+        return row, int(headers["content-length"])
+
+    def _wants(self, row: dict) -> bool:
+        return self.payload and row["type"] != "revisit"
+
+    def _told(self, row: dict, source: io.BufferedIOBase, left: int) -> dict:
+        """The row with what its block tells."""
+        if row["http"]:
+            before = source.tell()
+            inner = _headers(source) or {}
+            left -= source.tell() - before
+            row["full_length"] = int(inner.get("content-length", left))
+        else:
+            row["full_length"] = left
+        row["payload"] = source.read(left) if self._wants(row) else None
+        if row["payload"] is not None and len(row["payload"]) < left:
+            raise ValueError(f"{row['record_id']} is cut off")
+        return row
+
 
 class PushingReader(WarcReader):
     """For sessions that push filters to Python sources; Spark refuses such readers in others."""
@@ -165,13 +276,20 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
+def _lengths(head: bytes) -> tuple[int, int] | None:
+    """Of a member that tells them: its bytes, and those of its content."""
+    if head[:4] != b"\x1f\x8b\x08\x04" or head[10:16] != b"\x0c\0sl\x08\0":
+        return None
+    return int.from_bytes(head[16:20], "little"), int.from_bytes(head[20:24], "little")
+
+
 def _headers(source: io.BufferedReader) -> dict[str, str] | None:
     """The named lines up to an empty one, after a first line; nothing at the file's end."""
     if not source.readline():
         return None
     found = {}
     while (line := source.readline().rstrip(b"\r\n")):
-        name, _, value = line.decode().partition(":")
+        name, _, value = line.decode(errors="replace").partition(":")
         found[name.strip().lower()] = value.strip()
     return found
 
@@ -184,6 +302,9 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def writer(self, schema, overwrite: bool) -> WarcWriter:  # noqa: ARG002
+        return WarcWriter(dict(self.options)["path"])
+
     def reader(self, schema) -> WarcReader:  # noqa: ARG002
         options = dict(self.options)
         return (PushingReader if options.get("pushdown", "false") == "true" else WarcReader)(options)

@@ -1,0 +1,63 @@
+"""The registered query against a plain version, and neighbours of unevenly spread ids."""
+
+import hashlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import fingerprints as M
+from lodestone.llm.queries import op1_fingerprints
+
+sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+
+def parts(text):
+    return [[p.split(". ") for p in s.split("\n")] for s in text.split("\n\n")]
+
+
+def root(text):
+    join = lambda hashes: sha(",".join(hashes))
+    return join([join([join(map(sha, p)) for p in s]) for s in parts(text)])
+
+
+def near(a, b):
+    a, b = ({x for s in parts(t) for p in s for x in p} for t in (a, b))
+    size = lambda x: sum(map(len, x))
+    return 2 * size(a & b) / (size(a) + size(b)) if size(a) + size(b) else 1.0
+
+
+def differing(a, b):
+    a, b = parts(a), parts(b)
+    return sum(not (i < len(b) and k < len(b[i]) and b[i][k] == p) for i, s in enumerate(a) for k, p in enumerate(s))
+
+
+def plain(rows):
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    out = Counter()
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        out[(i, len(t), sha(e), root(t), root(e), round(near(t, e), 9), round(near(t, nxt), 9), differing(t, e))] += 1
+    return out
+
+
+def test_the_query_equals_a_plain_version(spark, tmp_path):
+    words = "one. two. three\nfour. five\n\nsix. seven\neight. nine. ten\n\neleven".split(" ")
+    rows = [(k * k, " ".join(words[k % 5 :] * (k % 4))) for k in range(60)] + [(None, None), (None, "a. b"), (3, ""), (3, "x"), (3, "x"), (9_000_000_000_000_000_000, "far"), (-9_000_000_000_000_000_000, "é. ü\n\n\n")]
+    rows += [(77, "long. " * 100_000)]
+    df = spark.createDataFrame([(i, t, "c", "c", 1) for i, t in rows], "doc_id long, text string, bucket string, id string, n_chars long")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((*r[:5], round(r.near_edited, 9), round(r.near_next, 9), r.n_differing) for r in op1_fingerprints(spark, str(tmp_path)).collect())
+    assert got == plain(rows)
+
+
+@pytest.mark.parametrize("ids", [[*range(3000), 9 * 10**18], [k**5 for k in range(3000)], [*range(-1500, 1500)], [7] * 300 + [*range(1000)], [5]])
+def test_buckets_ascend_and_stay_small(spark, ids):
+    rows = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+    low, high, n, inner = rows.agg(F.min("id"), F.max("id"), F.count("*"), F.percentile_approx("id", [k / M.PARTS**2 for k in range(1, M.PARTS**2)])).first()
+    got = rows.withColumn("bucket", M._bucket(low, high, n, inner)).collect()
+    found = sorted((r.id, r.bucket) for r in got if r.id is not None)
+    assert all(a[1] <= b[1] for a, b in zip(found, found[1:], strict=False)) and [r.bucket for r in got if r.id is None] == [-1]
+    most = Counter(b for _, b in found).most_common(1)[0][1]
+    assert most <= max(Counter(ids).values()) + 2 * M.NEIGHBOURS

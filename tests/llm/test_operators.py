@@ -73,6 +73,33 @@ def test_substring_dedup(spark, docs, none):
             out[(i, len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g))] += 1
         return out
 
+    def plain_factors(rows):
+        """The greedy parse, word by word: each factor from its first window's earliest place on, as far as the texts agree."""
+        order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+        words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in order]
+        first, out = {}, Counter()
+        for d, own in enumerate(words):
+            for k in range(len(own) - 19):
+                first.setdefault(tuple(own[k : k + 20]), (d, k))
+        for d, own in enumerate(words):
+            k, covered, found = 0, 0, []
+            while k < len(own) - 19:
+                e, x = first[tuple(own[k : k + 20])]
+                if (e, x) == (d, k):
+                    k += 1
+                    continue
+                n = 20
+                while k + n < len(own) and x + n < len(words[e]) and own[k + n] == words[e][x + n]:
+                    n += 1
+                start = max(k, covered)
+                found.append((start, k + n - start, order[e][0], x + start - k))
+                covered, k = k + n, k + n - 19
+            out[(order[d][0], tuple(found))] += 1
+        return out
+
+    def factors(df):
+        return Counter((r.doc_id, tuple(map(tuple, r.factors))) for r in df.collect())
+
     columns = ("doc_id", "n_words", "n_removed", "kept")
     assert bag(factorize(docs, block_chars=400), *columns) == plain(DOCS)
     assert bag(factorize(docs), *columns) == plain(DOCS)
@@ -82,12 +109,19 @@ def test_substring_dedup(spark, docs, none):
     rows += [(200 + i, " ".join(["p q r"] * (i % 30))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert bag(factorize(df, block_chars=1500), *columns) == plain(rows)
+    assert factors(factorize(df, block_chars=1500)) == factors(factorize(df)) == plain_factors(rows)
+    middle, whole = " ".join(f"m{i}" for i in range(30)), [f"w{i}" for i in range(100)]
+    whole[40:70] = middle.split()
+    rows = [(0, "x " * 5 + middle), (1, " ".join(whole)), (2, " ".join(whole)), (3, " ".join(whole[:60] + whole[50:])), (-1, middle + " y"), (None, " ".join(whole[10:90]))]
+    for size in (10, 400, 10_000):
+        got = factors(factorize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_chars=size))
+        assert got == plain_factors(rows) and got[(2, ((0, 100, 1, 0),))] == 1
 
 
-def test_decontamination(spark, docs, none):
+def test_decontamination(spark, docs, none, monkeypatch):
     from lodestone.llm import decontamination as D
 
-    items = [(0, " ".join(A.split()[3:22]).upper()), (1, "two, three"), (1, "two, three"), (2, None), (3, ""), (None, "alpha"), (4, " ".join(A.split()[:12] + ["no"]))]
+    items = [(0, " ".join(A.split()[3:22]).upper()), (1, "two, three"), (1, "two, three"), (2, None), (3, ""), (None, "null, id"), (4, " ".join(A.split()[:12] + ["no"]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -95,21 +129,18 @@ def test_decontamination(spark, docs, none):
     for i, t in DOCS:
         w, hit, found = words(t), set(), set()
         for item, text in items:
-            x = words(text) if item is not None else []
+            x = words(text)
             for k in range(max(1, len(x) - 12) if x else 0):
                 win = x[k : k + 13]
                 for at in range(len(w) - len(win) + 1):
                     if w[at : at + len(win)] == win:
                         hit.update(range(at, at + len(win)))
-                        found.add(item)
+                        found |= {item} - {None}
         want[(i, len(w), len(hit), tuple(sorted(found)))] += 1
     got = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in df.collect())
     assert got(D.contamination(docs, bench)) == want
-    D.PART_BYTES, old = 60, D.PART_BYTES  # several parts
-    try:
-        assert got(D.contamination(docs, bench)) == want
-    finally:
-        D.PART_BYTES = old
+    monkeypatch.setattr(D, "SHARD_CHARS", 300)  # several shards
+    assert got(D.contamination(docs, bench.repartition(4).withColumn("shard", F.lit("clash")))) == want
     assert D.contamination(none, bench).count() == 0
     assert D.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     index = D.build_index(docs)
@@ -118,36 +149,6 @@ def test_decontamination(spark, docs, none):
     assert D.matches(index, ["delta beta"], span=2).count() == 0
 
 
-def test_near_dedup(spark, none):
-    from lodestone.llm import near_dedup as N
-
-    rng = np.random.default_rng(3)
-    rows = []
-    for g in range(12):
-        base = [f"g{g}w{i}" for i in rng.integers(0, 400, 120)]
-        for _ in range(int(rng.integers(1, 7))):
-            copy = list(base)
-            for k in rng.integers(0, 120, int(rng.integers(0, 5))):
-                copy[k] = f"e{rng.integers(0, 9999)}"
-            rows.append((len(rows), " ".join(copy)))
-    rows += [(900, None), (901, ""), (902, "short text"), (903, "short text"), (904, "Short, text"), (None, rows[0][1]), (3, rows[3][1]), (905, " ".join(["again"] * 300)), (906, " ".join(["again"] * 290))]
-    places = [{x: k for k, x in enumerate(N.items_of(N.words_of(t or ""), {}).tolist())} for _, t in rows]
-    root = list(range(len(rows)))
-    find = lambda x: x if root[x] == x else find(root[x])
-    for i in range(len(rows)):
-        for j in range(i):
-            if (rows[i][1] or "") == (rows[j][1] or "") or N.similarity(places[i], places[j]) >= N.SIMILAR:
-                root[find(i)] = find(j)
-    names = {}
-    for i, (doc, _) in enumerate(rows):
-        if doc is not None:
-            names[find(i)] = min(names.get(find(i), doc), doc)
-    want = Counter((doc, names[find(i)]) for i, (doc, _) in enumerate(rows))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert bag(N.near_duplicates(df), "doc_id", "class_id") == want
-    assert N.near_duplicates(none).count() == 0
-
-
 def test_components_of_chains(spark):
     from lodestone.llm.near_dedup import components
 
@@ -173,7 +174,7 @@ def test_fingerprints(spark, docs, none):
     assert M.with_next(none).count() == 0
     one = spark.createDataFrame([("a. b\nc\n\nd", "a. b\nX\n\nd")], "x string, y string")
     assert [tuple(d) for d in one.select(M.differing(M.tree(F.col("x")), M.tree(F.col("y"))).alias("d")).first().d] == [(0, 1)]
-    assert one.select(M.likeness(M.leaf_set(F.col("x")), M.leaf_set(F.col("y"))).alias("s")).first().s == pytest.approx(6 / 8)
+    assert one.select(M.likeness(M.leaf_set(M.tree(F.col("x"))), M.leaf_set(M.tree(F.col("y")))).alias("s")).first().s == pytest.approx(6 / 8)
 
 
 def test_chat_format(spark):
@@ -193,32 +194,6 @@ def test_chat_format(spark):
     assert got == [[("user", "a"), ("assistant", "b")], [("user", "p"), ("assistant", "c")], [("user", "i\n\nn"), ("assistant", "o")], [("user", "v")], None, None, None]
 
 
-def test_warc(spark, tmp_path):
-    from lodestone.llm import warc
-
-    big = "é\r\n\r\nWARC/1.1\r\n" * 200
-    pages = [(1, "http://a/\r\nx", big), (9, "http://b/", big), (9, "http://b/", big), (2, None, None), (3, "http://c/", "small"), (4, "http://d/", "small"), (None, "u", "z" * 1500)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    warc.write(df.repartition(3), f"{tmp_path}/w")
-    got = warc.read(spark, f"{tmp_path}/w")
-    rows = Counter((r.record_id, r.type, r.refers_to, None if r.payload is None else bytes(r.payload), r.full_length) for r in got.collect())
-    n = len(big.encode())
-    assert rows == {
-        ("<urn:page:9>", "response", None, big.encode(), n): 2, ("<urn:page:1>", "revisit", "<urn:page:9>", None, n): 1, ("<urn:page:2>", "response", None, b"", 0): 1,
-        ("<urn:page:3>", "response", None, b"small", 5): 1, ("<urn:page:4>", "response", None, b"small", 5): 1, ("<urn:page:null>", "response", None, b"z" * 1500, 1500): 1,
-    }
-    assert warc.read(spark, f"{tmp_path}/w", type="revisit").count() == 1
-    assert warc.read(spark, f"{tmp_path}/w", uri_prefix="http://b", payload="false").where("payload IS NULL").count() == 2
-    assert all(r.digest == hashlib.sha1(bytes(r.payload)).hexdigest() for r in got.where("payload IS NOT NULL").collect())
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    try:
-        assert warc.read(spark, f"{tmp_path}/w").where("type = 'revisit' AND full_length > 3").count() == 1
-    finally:
-        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
-    warc.write(df.limit(0), f"{tmp_path}/none")
-    assert warc.read(spark, f"{tmp_path}/none").count() == 0
-
-
 def test_viterbi_is_exact():
     from lodestone.llm.language_id import label_words
 
