@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def _with(df: DataFrame, more: str):
 
 # --------------------------------------------------------------------------- template
 
-_TURN = re.compile(r"### ((?:[^\\:#<]|\\.)*): ((?:[^\\#<]|\\.)*)</turn>\n", re.S)
+#: The repetitions are possessive: what they took is never tried again, so long turns need no memory of the way.
+_TURN = re.compile(r"### ((?:[^\\:#<]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.S)
 
 
 def escape(text: str, also: str = "") -> str:
@@ -218,8 +220,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start, end in C.slices(pc.fill_null(pc.utf8_length(batch.column("formatted")), 0).to_pylist(), 1_000_000):
+                part = batch.slice(start, end - start)
                 texts, masks = part.column("formatted").to_pylist(), part.column("loss").to_pylist()
                 turns = [[{"role": r, "text": t} for r, t in read_turns(text)] for text in texts]
                 loss = ["".join(unescape(text[m["start"] : m["start"] + m["length"]]) for m in mask) for text, mask in zip(texts, masks, strict=True)]
