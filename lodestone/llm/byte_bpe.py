@@ -2,7 +2,8 @@
 
 Encoding lists each document's pre-tokens with their positions, encodes each distinct pre-token of
 the whole corpus once, joins the ids back and reassembles them by position. Decoding joins ids
-to the token-byte table, which has one entry for each rank of the vocabulary file.
+to the token-byte table, which has one entry for each rank of the vocabulary file: each task reads it from that file and
+gathers the bytes of many ids at once, so no row is shuffled for it.
 
 Null text counts as empty (no ids). Repeated rows and repeated or null ids give a row each;
 columns beside the id and the text are ignored; an empty table gives an empty result. Decoding
@@ -16,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +65,22 @@ def decode(encoded: DataFrame, ranks_file: str, ids_col: str = "ids") -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_file)
-        table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        sizes = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
         for token, rank in ranks.items():
-            table[rank] = token
+            sizes[rank] = len(token)
+        table = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # as bytes, a batch's ids are much smaller than as text
-                part = batch.slice(start, 256)
-                texts = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
+            lengths = pc.fill_null(pc.binary_length(batch.column(ids_col)), 0).to_pylist()
+            for start, end in C.slices(lengths, 1_000_000):
+                part = batch.slice(start, end - start)
+                ids = np.frombuffer(b"".join(x or b"" for x in part.column(ids_col).to_pylist()), "<u4").astype(np.int64)
+                if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() < 0):
+                    raise ValueError("an id is not in the table")
+                each = sizes[ids]
+                text = table[C.ragged(starts[ids], each)].tobytes()
+                edges = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(lengths[start:end]) // 4])].tolist()
+                texts = [text[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     schema = encoded.drop("decoded").schema.add("decoded", "binary")

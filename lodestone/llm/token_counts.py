@@ -4,8 +4,8 @@ A document's pre-tokens are counted (pre-token, frequency); each distinct pre-to
 corpus is handed to the tokenizer's model once; the counts return to the frequencies and are
 summed. No token ids are made or kept.
 
-The rules are those of a tokenizers file with the pipeline NFC, white space folded, lower case,
-split by a pattern, byte-level alphabet. A special token's string in a text is one token, as the
+Split pattern and special strings are read from the tokenizer's file, whose pipeline must be NFC, white space folded, lower case,
+split by a pattern, byte-level alphabet; another pipeline is refused. A special token's string in a text is one token, as the
 library does by default.
 
 Null text counts as empty (0 tokens). Repeated rows and repeated or null ids give a row each, and
@@ -14,8 +14,10 @@ columns beside the id and the text are ignored. An empty table gives an empty re
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,28 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.wordjoin import resolve_words
 
-#: The split pattern and special strings of the tokenizer's file.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: A pre-token that stands for a special token; normal ones are never empty or upper case.
 MARK = "<SPECIAL>"
+#: The normaliser whose work ``rules`` does.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
-def splitter():
-    find = regex.compile(PATTERN).findall
-    special = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
+def rules(tokenizer_file: str) -> tuple[str, tuple[str, ...]]:
+    """The split pattern and the special strings of a file; a ``ValueError`` if its pipeline is another one."""
+    with open(tokenizer_file, encoding="utf-8") as lines:
+        file = json.load(lines)
+    steps = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    fits = (file["normalizer"] or {}).get("normalizers") == NORMAL and len(steps) == 2 and steps[0]["type"] == "Split" and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True) and level.items() <= steps[1].items()
+    plain = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in file["added_tokens"])
+    if not (fits and plain and "Regex" in steps[0]["pattern"] and file["model"]["type"] == "BPE"):
+        raise ValueError(f"{tokenizer_file} has another pipeline than lower-casing byte-level BPE")
+    return steps[0]["pattern"]["Regex"], tuple(t["content"] for t in file["added_tokens"])
+
+
+def splitter(pattern: str, specials: tuple[str, ...]) -> Callable[[str], tuple[list[str], int]]:
+    find = regex.compile(pattern).findall
+    special = regex.compile("(" + "|".join(map(regex.escape, specials or ("\x00",))) + ")")
 
     def plain(text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
@@ -44,7 +58,7 @@ def splitter():
 
     def split(text: str) -> tuple[list[str], int]:
         n_bytes = len(text.encode())
-        if "<|" not in text:
+        if not any(s in text for s in specials):
             return plain(text), n_bytes
         words: list[str] = []
         for k, part in enumerate(special.split(text)):
@@ -56,6 +70,7 @@ def splitter():
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row; the file must be readable on every executor."""
+    pattern, specials = rules(tokenizer_file)
 
     def resolver():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,5 +96,5 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
         return pa.record_batch([ids, pa.array(part["own"]), pa.array(totals)], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = resolve_words(rows, splitter, resolver, assemble, "id long, n_bytes long, n_tokens long", ordered=False)
+    out = resolve_words(rows, lambda: splitter(pattern, specials), resolver, assemble, "id long, n_bytes long, n_tokens long", ordered=False)
     return out.withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@
 3. A block's answers meet its slices again, and ``assemble`` makes rows for the documents.
 
 The buckets are as many as ``spark.sql.shuffle.partitions``, so their share of the vocabulary
-stays bounded when that setting follows the input. Blocks are dealt by number, not by hash.
+stays bounded when that setting follows the input; what a bucket remembers is bounded in any case. Blocks are dealt by number, not by hash.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from lodestone.llm import common as C
 
 #: Stands between words in a blob; no UTF-8 text holds this byte.
 BETWEEN = b"\xff"
+#: Words whose answers a bucket remembers; a bucket of more words works some of them out again.
+MOST = 2_000_000
 WIRE = "route int, block long, home int, kind int, a binary, b binary"
 WIRE_ARROW = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("home", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 ANSWER, SLICE = 0, 1
@@ -96,6 +98,8 @@ def resolve_words(
                 _, block, home, kind, a, b = row
                 if kind == ANSWER:
                     words = C.unpack_bytes(b).split(BETWEEN)
+                    if len(known) > MOST:
+                        known.clear()
                     if new := [w for w in words if w not in known]:
                         known.update(zip(new, resolver([w.decode() for w in new]), strict=True))
                     answers = [known[w] for w in words]
